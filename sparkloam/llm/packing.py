@@ -19,16 +19,22 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import _ODD, _Either, groups
+from .bpe import by_rank, forget, groups
 from .common import stored, table
 
-SALTS, KEPT = 256, 500_000
+SALTS, KEPT = 256, 400_000
+#: White space other than blank and newline, or letters whose lower case or composition
+#: may depend on their neighbours: such texts are encoded as they are.
+_FAR = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u0130\u0250-\U0010ffff]")
+#: A stop after a letter and before white space is a token of its own.
+_STOP = re.compile("[.,](?<=[a-z\xdf-\xf6\xf8-\u024f][.,])(?=[ \n])")
 
 
 class Words:
@@ -41,18 +47,40 @@ class Words:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.kept: dict[str, bytes] = {}
+        self.fast = by_rank(path, "[^ ]+ ")
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _each(self, words: list[str]) -> dict[str, bytes]:
+        """Words of letters only are one pre-token each: many are encoded as one text and
+        told apart by the tokens that end a word."""
+        out: dict[str, bytes] = {}
+        rest = [w for w in words if not w.isalpha()]
+        words = [w for w in words if w.isalpha()]
+        for a in range(0, len(words), 2000):
+            part = words[a : a + 2000]
+            ids = self.fast.encode_to_numpy(" ".join(part) + " ")
+            raw, ends = ids.astype("<u4").tobytes(), (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
+            out.update(zip(part, [raw[x:y] for x, y in zip([0, *ends], ends)], strict=True))
+        for a in range(0, len(rest), 1000):
+            part = rest[a : a + 1000]
+            out.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)))
+        return out
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        words = [[t] if _ODD.search(t) else t.split() for t in texts]
+        words = [[t] if _FAR.search(t) else _STOP.sub(r" \g<0>", t.lower()).split() for t in texts]
         new = list(set().union(*words).difference(self.kept))
-        known = self.kept
-        if new:
-            found = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))}
-            if len(known) + len(found) <= KEPT:
-                known.update(found)
-            else:
-                known = _Either(known, found)
-        return [b"".join(map(known.__getitem__, w)) for w in words]
+        self.kept.update(self._each(new))
+        out = [b"".join(map(self.kept.__getitem__, w)) for w in words]
+        forget(self.kept, new, KEPT)
+        return out
+
+
+@lru_cache(maxsize=1)
+def words(path: str) -> Words:
+    """One for all tasks of a worker."""
+    return Words(path)
 
 
 def pieces(docs: DataFrame, path: str, *, size: int = 2048, end_id: int = 0, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
@@ -63,7 +91,7 @@ def pieces(docs: DataFrame, path: str, *, size: int = 2048, end_id: int = 0, id_
     fields = ["piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Words(path)
+        own = words(path)
         for batch in batches:
             for at, part in groups(batch.column("text").to_pylist()):
                 of: list[int] = []

@@ -54,6 +54,28 @@ def test_words_as_the_library(spark):
         assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t[:80]
 
 
+@pytest.mark.parametrize("path,pattern,end", [(BYTE, " [^ ]+", ""), (WORD, "[^ ]+ ", "</w>")])
+def test_merging_by_rank_is_merging_by_rules(path, pattern, end):
+    """Ids follow the merges, and every token is what its own bytes are encoded as."""
+    import json
+
+    spec = json.load(open(path))
+    vocab = spec["model"]["vocab"]
+    at = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in spec["model"]["merges"]]
+    assert at == sorted(at) and min(at) >= 256
+    parts, rank = dict(zip(at, spec["model"]["merges"])), {tuple(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(spec["model"]["merges"])}
+    for t, i in vocab.items():
+        if i not in parts:
+            continue
+        s = [*t.removesuffix(end), end] if end and t.endswith(end) else [*t]
+        s = [*s[:-2], s[-2] + end] if end and t.endswith(end) else s
+        while len(s) > 1:
+            k = min(range(len(s) - 1), key=lambda k: rank.get((s[k], s[k + 1]), 1 << 30))
+            assert (s[k], s[k + 1]) in rank, t
+            s[k : k + 2] = [s[k] + s[k + 1]]
+        assert s == [t]
+
+
 def _least(lengths, size):
     """Exact number of bins by trying all."""
     best = [len(lengths)]
