@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAF, SPREAD, GUARD, WINDOW, KEPT = 4096, 1 << 20, 2, 48, 400_000
+LEAF, SPREAD, GUARD, WINDOW, KEPT = 4096, 1 << 20, 2, 48, 300_000
 #: A run of white space and a word, cut before a stop that follows a letter or number.
 _RUNS = re.compile(r"[ \n]*+[^ \n.,]++(?<=[^\W_])(?=[.,])|[ \n]*+[^ \n]+|[ \n]+")
 #: All that counts as white space in Python or Unicode, besides blank and newline.
@@ -170,16 +170,19 @@ def forget(kept: dict, new: list, most: int) -> None:
         del kept[key]
 
 
-def groups(values: list[str], chars: int = 1 << 21, rows: int = 1024) -> Iterator[tuple[int, list[str]]]:
-    """Consecutive values by bounded size, with the place of the first."""
-    at, size = 0, 0
-    for i, v in enumerate(values):
-        size += len(v)
-        if size >= chars or i + 1 - at >= rows:
-            yield at, values[at : i + 1]
-            at, size = i + 1, 0
-    if at < len(values):
-        yield at, values[at:]
+def groups(values: pa.Array | list[str], chars: int = 1 << 21, rows: int = 1024) -> Iterator[tuple[int, list[str]]]:
+    """Consecutive values by bounded size, with the place of the first. Of an Arrow array only
+    so many are Python objects at a time."""
+    for base in range(0, len(values), rows):
+        part = values[base : base + rows] if isinstance(values, list) else values.slice(base, rows).to_pylist()
+        at, size = 0, 0
+        for i, v in enumerate(part):
+            size += len(v)
+            if size >= chars:
+                yield base + at, part[at : i + 1]
+                at, size = i + 1, 0
+        if at < len(part):
+            yield base + at, part[at:]
 
 
 def encode(docs: DataFrame, path: str, *, id_column: str = "doc_id", text_column: str = "text", leaf: int = LEAF, spread: int = SPREAD) -> DataFrame:
@@ -190,8 +193,8 @@ def encode(docs: DataFrame, path: str, *, id_column: str = "doc_id", text_column
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, leaf)
         for batch in batches:
-            ids, texts = batch.column("id"), batch.column("text").to_pylist()
-            for at, part in groups(texts):
+            ids = batch.column("id")
+            for at, part in groups(batch.column("text")):
                 out = [x.tobytes() for x in own.encode(part)]
                 yield pa.RecordBatch.from_arrays([ids.slice(at, len(part)), pa.array(out, pa.binary())], ["id", "ids"])
 
@@ -210,7 +213,7 @@ def encode(docs: DataFrame, path: str, *, id_column: str = "doc_id", text_column
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, leaf)
         for batch in batches:
-            for at, part in groups(batch.column("text").to_pylist()):
+            for at, part in groups(batch.column("text")):
                 rest = [batch.column(c).slice(at, len(part)) for c in ("id", "row", "n", "at")]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array([x.tobytes() for x in own.leaves(part)], pa.binary())], ["id", "row", "n", "at", "ids"])
 

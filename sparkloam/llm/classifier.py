@@ -125,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_column: str = "quality", id
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Features()
         for batch in batches:
-            for at, part in groups(batch.column("text").to_pylist()):
+            for at, part in groups(batch.column("text")):
                 yield pa.RecordBatch.from_arrays([batch.column("label").slice(at, len(part)), pa.array([x.tobytes() for x in own(part)], pa.binary())], ["label", "x"])
 
     rows = sorted((bytes(r["x"]), r["label"]) for r in found.mapInArrow(local, "label int, x binary").limit(4 * sample).collect())
@@ -140,7 +140,7 @@ def score(docs: DataFrame, model: Model, *, text_column: str = "text", keep: tup
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Features()
         for batch in batches:
-            for at, part in groups(batch.column("_text").to_pylist()):
+            for at, part in groups(batch.column("_text")):
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, len(part)) for c in keep), pa.array(known.value.score(own(part)))], [*keep, "score"])
 
     rows = docs.select(*keep, F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("_text"))

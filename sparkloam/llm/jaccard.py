@@ -79,7 +79,7 @@ def _order(texts: DataFrame, n: int) -> np.ndarray:
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, total = Shingles(n), np.zeros(BUCKETS, dtype=np.int32)
         for batch in batches:
-            for _, part in groups(batch.column("text").to_pylist()):
+            for _, part in groups(batch.column("text")):
                 got = np.concatenate([of(t) for t in part])
                 total += np.bincount((got % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS).astype(np.int32)
         small = np.minimum(total, 65535).astype("<u2").reshape(BLOCKS, size)
@@ -108,7 +108,7 @@ def _prefixes(rows: DataFrame, n: int, num: int, den: int, kind: str) -> DataFra
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, weight = Shingles(n), order.value
         for batch in batches:
-            for at, part in groups(batch.column("text").to_pylist()):
+            for at, part in groups(batch.column("text")):
                 size, key, same, prefix = [], [], [], []
                 for t in part:
                     h = of(t)
@@ -136,7 +136,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, n: int, num:
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Shingles(n)
         for batch in batches:
-            for at, part in groups(batch.column("text").to_pylist()):
+            for at, part in groups(batch.column("text")):
                 yield pa.RecordBatch.from_arrays([batch.column("key").slice(at, len(part)), pa.array([of(t).tobytes() for t in part], pa.binary())], ["key", "s"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

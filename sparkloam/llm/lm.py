@@ -82,7 +82,7 @@ def count(train: DataFrame, order: int = ORDER) -> DataFrame:
             return code[at], np.add.reduceat(n, at)
 
         for batch in batches:
-            for _, part in groups(batch.column("text").to_pylist()):
+            for _, part in groups(batch.column("text")):
                 raw = [t.encode() for t in part]
                 for t in raw:
                     words.update(t.lower().split())
@@ -219,8 +219,8 @@ def score(docs: DataFrame, counts: DataFrame, trie: Trie, *, keep: list[str], wo
         known, model = common.value
         logs = {w: math.log10(n + 1) for w, n in known.items()}
         for batch in batches:
-            texts, rows = batch.column("text").to_pylist(), batch.column("row").to_pylist()
-            for at, part in groups(texts):
+            rows = batch.column("row").to_pylist()
+            for at, part in groups(batch.column("text")):
                 raw = [t.encode() for t in part]
                 out: dict[str, list] = {c: [] for c in names}
                 of: list[int | None] = []

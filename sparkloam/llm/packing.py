@@ -93,7 +93,7 @@ def pieces(docs: DataFrame, path: str, *, size: int = 2048, end_id: int = 0, id_
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = words(path)
         for batch in batches:
-            for at, part in groups(batch.column("text").to_pylist()):
+            for at, part in groups(batch.column("text")):
                 of: list[int] = []
                 got: dict[str, list] = {k: [] for k in fields}
                 for i, ids in enumerate(own.ids(part)):

@@ -117,7 +117,7 @@ def dedup(docs: DataFrame, *, size: int = 400, dictionary: int = DICTIONARY, id_
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, part in groups(batch.column("text").to_pylist()):
+            for at, part in groups(batch.column("text")):
                 of, lo, hi, kh, ph = [], [], [], [], []
                 for i, t in enumerate(part):
                     raw = t.encode()
