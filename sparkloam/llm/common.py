@@ -12,7 +12,19 @@ from pyspark.sql import functions as F
 WS = r"\x20\x09-\x0D"
 
 
+#: Rows that pass between the JVM and Python at a time. Rows hold whole texts here, and with
+#: Spark's own 10,000 a batch of them and its copies would fill an executor's memory.
+BATCH_ROWS = 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -37,6 +49,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     Later steps then depend on files that outlive any executor and not on shuffles.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
