@@ -10,8 +10,9 @@ far as the window reaches: neighbours with a common prefix of a window's length
 more than once, and so do suffixes of phrases that the parse has twice.
 
 A dictionary is small since texts are alike only by chance or copying, but a passage in
-many texts can give one of any size. Beyond DICTIONARY phrases its windows are dealt out
-by their hashes instead, counted with a partial sum, and so no task holds them all.
+many texts can give one of any size. Beyond DICTIONARY phrases these are cut into blocks
+of STEP windows, and blocks, then single windows where a block doesn't settle it, are
+dealt out by their hashes and counted with a partial sum, so no task holds them all.
 
 Defined results: null counts as empty; texts shorter than a window lose nothing;
 repeated rows repeat each other, so their windows go; an empty table gives no rows.
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .bpe import groups
 from .common import row_key, stored, table
 
-DICTIONARY, GRAM = 512, 32
+DICTIONARY, GRAM, STEP = 512, 32, 16
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0x8EBC6AF09C88C6E3, 0xE7037ED1A0B428DB, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165)]
 
 
@@ -183,18 +184,48 @@ def dedup(docs: DataFrame, *, size: int = 400, dictionary: int = DICTIONARY, id_
 
     small = texts.where(~F.col("large")).repartition("kh").sortWithinPartitions("kh").mapInArrow(solve, own + ", s long, e long")
 
+    step, gram = min(STEP, max(1, size // 2)), min(GRAM, size)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, out = [], {c: [] for c in ("b", "s", "core", "outer", "raw")}
+            for i, (lo, kh, raw) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("lo", "kh", "raw")))):
+                last = len(raw) - size  # of the places of windows
+                p = int(np.flatnonzero(rolling(np.frombuffer(raw, np.uint8), gram).view(np.int64)[: size - gram + 1] == kh)[-1])
+                for b in range((p - last) // step, p // step + 1):
+                    high, low = p - step * b, p - step * b - step + 1
+                    first = max(low, 0)
+                    inside = low >= 0 and high <= last
+                    of.append(i)
+                    out["b"].append(b)
+                    out["s"].append(lo + first)
+                    out["core"].append(xxhash.xxh3_64_intdigest(raw[high : low + size]) >> 1)
+                    out["outer"].append(xxhash.xxh3_64_intdigest(raw[low : high + size]) >> 1 if inside else None)
+                    out["raw"].append(raw[first : min(high, last) + size])
+            kinds = [pa.int64()] * 4 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(of, pa.int64())) for c in ("doc_id", "rk", "kh", "twice")), *(pa.array(x, t) for x, t in zip(out.values(), kinds))], ["doc_id", "rk", "kh", "twice", *out])
+
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                hashes = [rolling(np.frombuffer(x, np.uint8), size).view(np.int64) for x in part.column("raw").to_pylist()]
-                of = pa.array(np.repeat(np.arange(len(hashes)), [len(h) for h in hashes]))
-                start = np.concatenate([np.arange(len(h)) for h in hashes]) + np.repeat(part.column("lo").to_numpy(), [len(h) for h in hashes])
-                yield pa.RecordBatch.from_arrays([*(part.column(c).take(of) for c in ("doc_id", "rk", "kh", "twice")), pa.array(start, pa.int64()), pa.array(np.concatenate(hashes))], ["doc_id", "rk", "kh", "twice", "s", "wh"])
-
-    dealt = texts.where("large").mapInArrow(windows, own + ", kh long, twice boolean, s long, wh long")
-    often = dealt.groupBy("kh", "wh").agg(F.count("*").alias("n"), F.max("twice").alias("t")).where((F.col("n") > 1) | F.col("t")).select("kh", "wh")
-    large = dealt.where(~F.col("twice")).join(often, ["kh", "wh"]).select("doc_id", "rk", "s", (F.col("s") + size).alias("e"))
+            hashes = [rolling(np.frombuffer(x, np.uint8), size).view(np.int64) for x in batch.column("raw").to_pylist()]
+            many = [len(h) for h in hashes]
+            of = pa.array(np.repeat(np.arange(len(hashes)), many))
+            start = np.concatenate([np.arange(n) for n in many]) + np.repeat(batch.column("s").to_numpy(), many)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in ("doc_id", "rk", "kh", "twice")), pa.array(start, pa.int64()), pa.array(np.concatenate(hashes))], ["doc_id", "rk", "kh", "twice", "s", "wh"])
+
+    # Blocks of windows, by their place before the trigger. What all windows of a block have
+    # in common must occur twice for any of them to; if all that they cover does, all do.
+    dealt = stored(texts.where("large").mapInArrow(blocks, own + ", kh long, twice boolean, b long, s long, core long, outer long, raw binary"), "blocks")
+    again = (F.count("*") > 1) | F.max("twice")
+    cores = dealt.groupBy("kh", "b", "core").agg(again.alias("again")).where("again").select("kh", "b", "core")
+    able = stored(dealt.join(cores, ["kh", "b", "core"]), "able")
+    outers = able.where("outer IS NOT NULL").groupBy("kh", "b", "outer").agg(again.alias("again"), F.min(F.struct("rk", "s", "doc_id", "raw")).alias("r")).where("again")
+    solved = able.where("NOT twice").join(outers.select("kh", "b", "outer"), ["kh", "b", "outer"]).select("doc_id", "rk", "s", (F.col("s") + F.octet_length("raw")).alias("e"))
+    open_ = able.join(outers.select("kh", "b", "outer"), ["kh", "b", "outer"], "left_anti").select("doc_id", "rk", "kh", "twice", "s", "raw")
+    shown = outers.select("r.doc_id", "r.rk", "kh", F.lit(True).alias("twice"), "r.s", "r.raw")
+    single = stored(open_.unionByName(shown).mapInArrow(windows, own + ", kh long, twice boolean, s long, wh long"), "windows")
+    often = single.groupBy("kh", "wh").agg(again.alias("again")).where("again").select("kh", "wh")
+    large = single.where(~F.col("twice")).join(often, ["kh", "wh"]).select("doc_id", "rk", "s", (F.col("s") + size).alias("e")).unionByName(solved)
     spans = whole.unionByName(small).unionByName(large)
     spans = spans.groupBy("rk", F.struct("doc_id").alias("d")).agg(F.collect_set(F.struct("s", "e")).alias("found"))
 
