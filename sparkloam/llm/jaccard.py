@@ -192,8 +192,12 @@ def join(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, id_colum
     # Groups, posted under the shingles of their prefix; shingles of one group lead nowhere.
     grouped = full.groupBy("n", "same").agg(F.min(F.struct("doc_id", "key")).alias("g"), F.first("prefix").alias("prefix"))
     posts = grouped.select("g", "n", F.posexplode("prefix").alias("pos", "token"))
-    heads = posts.groupBy("token").agg(F.count("*").alias("many"), F.min(F.struct("g", "n", "pos")).alias("head")).where(F.col("many") > 1)
-    posts = stored(posts.join(heads.select("token", "head"), "token").select("token", F.col("g.key").alias("gid"), "n", "pos", "head"), "posts")
+    # Most shingles lie in one group only. Counts of groups find the others, so that leaders and
+    # their ids are moved for shared shingles alone; counting g keeps one exchange for both sides.
+    shared = posts.groupBy("token").agg(F.count("g").alias("many")).where(F.col("many") > 1).select("token")
+    posts = stored(posts.join(shared, "token").select("token", "g", "n", "pos"), "shared")
+    heads = posts.groupBy("token").agg(F.min(F.struct("g", "n", "pos")).alias("head"))
+    posts = stored(posts.join(heads, "token").select("token", F.col("g.key").alias("gid"), "n", "pos", "head"), "posts")
     members = nodes.join(grouped.select("n", "same", F.col("g.key").alias("gid")), ["n", "same"]).select("key", "gid", "n")
     members = stored(members, "members")
     # Round one: to the leader of each shingle, and to the first of each group.
