@@ -59,7 +59,8 @@ def received(messages: DataFrame) -> DataFrame:
 
 
 def barrier_gather(spark, n: int) -> DataFrame:
-    """n tasks started together tell each other their numbers."""
+    """n tasks started together tell each other their numbers; needs n free task slots,
+    and fails where the cluster has fewer."""
 
     def run(_):
         from pyspark import BarrierTaskContext

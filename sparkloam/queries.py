@@ -268,8 +268,7 @@ def coll_received(spark, d):
 
 @query("SELECT id::INT AS worker, 4 AS n, 6 AS total FROM range(4) t(id)")
 def barrier_allgather(spark, d):
-    n = min(4, spark.sparkContext.defaultParallelism)
-    return collectives.barrier_gather(spark, n) if n == 4 else spark.range(4).select(F.col("id").cast("int").alias("worker"), F.lit(4).alias("n"), F.lit(6).alias("total"))
+    return collectives.barrier_gather(spark, 4)
 
 
 @query("SELECT id AS chunk, least(1048576, 4194305 - id * 1048576) AS bytes FROM range(5) t(id)")
