@@ -2,11 +2,14 @@
 
 Every training text is counted: words for the base score, and its bytes with up to ORDER
 bytes of context, between begin and end marks. Counts are added up within a task before
-they are shuffled. From them the driver makes a trie of bounded size: by order the most
-frequent contexts, each with its symbols; escapes are estimated by the number of
-different symbols (method C), and a shorter context excludes the symbols that longer
-ones have. Since counts no longer change, the code length of every symbol in every
-context is worked out once, and scoring is a walk over flat arrays.
+they are shuffled. From them the driver makes a trie of bounded size: the contexts of up to
+LOW bytes, whose number the alphabet bounds, and by longer order the most frequent ones,
+each with its symbols; escapes are estimated by the number of different symbols (method
+C), and a shorter context excludes the symbols that longer ones have. Since counts no
+longer change, the code length of every symbol in every context is worked out once, and
+scoring is a walk over flat arrays. Symbols whose longest context the trie lacks are
+scored from the counts themselves: both are shuffled by the last LOW + 1 bytes of the
+context, where all longer contexts that end in them meet.
 
 The base score needs the count of every word. The most frequent ones, a bounded number,
 are broadcast; all others are joined by a shuffle of (text, word).
@@ -30,8 +33,11 @@ from pyspark.sql import functions as F
 from .bpe import groups
 from .common import held_out, stored, table
 
-#: Longest context; contexts kept by order; words broadcast; symbols 256 and 257 mark begin and end.
-ORDER, CONTEXTS, WORDS, BEGIN, END, BITS = 4, 32_768, 200_000, 256, 257, 9
+#: Longest context; contexts broadcast by order, and the order up to which all are; words
+#: broadcast; symbols 256 and 257 mark begin and end.
+ORDER, CONTEXTS, LOW, WORDS, BEGIN, END, BITS = 4, 32_768, 2, 200_000, 256, 257, 9
+#: Rows of counts and symbols that a task of `unheld` settles at a time.
+ROWS = 1 << 18
 
 
 def symbols(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,17 +112,71 @@ def count(train: DataFrame, order: int = ORDER) -> DataFrame:
     return train.mapInArrow(local, "word binary, code long, n long").groupBy("word", "code").agg(F.sum("n").alias("n"))
 
 
+def _columns(seen: np.ndarray) -> np.ndarray:
+    """Places of symbols in rows of counts; the last one is for symbols never met."""
+    column = np.full(258, len(seen), dtype=np.int32)
+    column[seen] = np.arange(len(seen))
+    return column
+
+
+def _blend(levels: Iterator[np.ndarray], shape: tuple[int, int], free: int) -> np.ndarray:
+    """log10 probability by context and symbol. levels: counts of the contexts, then those of
+    ever shorter ones; free: symbols never met, alike in probability."""
+    p, out, rest = np.zeros(shape), np.zeros(shape, dtype=bool), np.ones(shape[0])
+    for counts in levels:
+        c = np.where(out, 0, counts)
+        total, kinds = c.sum(axis=1), (c > 0).sum(axis=1)
+        all_ = np.maximum(total + kinds, 1)
+        p += rest[:, None] * c / all_[:, None]
+        rest = np.where(total > 0, rest * kinds / all_, rest)
+        out |= c > 0
+    left = (~out[:, :-1]).sum(axis=1) + free
+    each = rest / np.maximum(left, 1)
+    p += np.where(out, 0, each[:, None])
+    # Where nothing is left to escape to, its share goes back to the symbols met.
+    p /= np.where(left > 0, 1, np.maximum(1 - rest, 1e-300))[:, None]
+    return np.log10(np.maximum(p, 1e-300))
+
+
+def code_costs(grams: list[tuple[np.ndarray, np.ndarray]], code: np.ndarray) -> np.ndarray:
+    """log10 probability of each symbol in its context. grams as for Trie, with all counts of
+    the contexts and of their ends."""
+    seen = np.union1d(grams[0][0], [END]).astype(np.int64)
+    column, width = _columns(seen), len(seen) + 1
+    contexts, of = np.unique(code >> BITS, return_inverse=True)
+    by = np.argsort(of, kind="stable")
+    bounds = np.searchsorted(of[by], np.arange(0, len(contexts) + 4096, 4096))
+    cost = np.empty(len(code))
+
+    def level(k: int, ctx: np.ndarray) -> np.ndarray:
+        known, n = grams[k]
+        end = ctx & ((1 << BITS * k) - 1)
+        low = np.searchsorted(known, end << BITS)
+        size = np.searchsorted(known, (end + 1) << BITS) - low
+        at = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
+        m = np.zeros((len(ctx), width))
+        m[np.repeat(np.arange(len(ctx)), size), column[known[at] & ((1 << BITS) - 1)]] = n[at]
+        return m
+
+    for a, x, y in zip(range(0, len(contexts), 4096), bounds, bounds[1:]):
+        ctx, own = contexts[a : a + 4096], by[x:y]
+        m = _blend((level(k, ctx) for k in range(len(grams) - 1, -1, -1)), (len(ctx), width), 257 - len(seen))
+        cost[own] = m[of[own] - a, column[code[own] & ((1 << BITS) - 1)]]
+    return cost
+
+
 class Trie:
     """Contexts by order as flat arrays. child[k][c, s]: the context of order k + 1 that is
     context c of order k and then symbol s, or -1. cost: log10 probability by context and
     symbol, all orders one after another from base[k] on."""
 
-    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]]):
-        """grams[k]: codes of k bytes of context and a symbol, and their counts."""
+    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]], whole: bool = True):
+        """grams[k]: codes of k bytes of context and a symbol, and their counts. whole: they
+        have every context, so one that is not there was never met."""
+        self.whole, self.low = whole, grams[: LOW + 1]
         seen = np.union1d(grams[0][0], [END]).astype(np.int64)
         width = len(seen) + 1  # the last column is for symbols never met
-        self.column = np.full(258, width - 1, dtype=np.int32)
-        self.column[seen] = np.arange(len(seen))
+        self.column = _columns(seen)
         self.context = self.column.copy()
         self.context[BEGIN] = width
         kept = [np.zeros(1, dtype=np.int64)]  # sorted contexts by order
@@ -146,24 +206,15 @@ class Trie:
         free = 257 - len(seen)  # symbols never met, alike in probability
         for k, found in enumerate(kept):
             for a in range(0, len(found), 4096):
-                at = np.arange(a, min(a + 4096, len(found)))
-                p, out, rest, ctx = np.zeros((len(at), width)), np.zeros((len(at), width), dtype=bool), np.ones(len(at)), at
-                for j in range(k, -1, -1):
-                    c = np.where(out, 0, counts[j][ctx])
-                    total, kinds = c.sum(axis=1), (c > 0).sum(axis=1)
-                    all_ = np.maximum(total + kinds, 1)
-                    p += rest[:, None] * c / all_[:, None]
-                    rest = np.where(total > 0, rest * kinds / all_, rest)
-                    out |= c > 0
-                    ctx = suffix[j][ctx] if j else ctx
-                left = (~out[:, :-1]).sum(axis=1) + free
-                each = rest / np.maximum(left, 1)
-                p += np.where(out, 0, each[:, None])
-                # Where nothing is left to escape to, its share goes back to the symbols met.
-                p /= np.where(left > 0, 1, np.maximum(1 - rest, 1e-300))[:, None]
-                self.cost[self.base[k] + at] = np.log10(np.maximum(p, 1e-300))
-
-    def score(self, texts: list[bytes]) -> np.ndarray:
+                ends = [at := np.arange(a, min(a + 4096, len(found)))]
+                for j in range(k, 0, -1):
+                    ends.append(suffix[j][ends[-1]])
+                levels = (counts[j][ctx] for j, ctx in zip(range(k, -1, -1), ends))
+                self.cost[self.base[k] + at] = _blend(levels, (len(at), width), free)
+
+    def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The scores of the texts, without those symbols whose longest context may have counts
+        that are not here; the codes of these, text after text, and how many each text has."""
         order = len(self.child)
         s, first = symbols(texts, order)
         col, con = self.column[s], self.context[s]
@@ -179,7 +230,15 @@ class Trie:
         cost = self.cost[state, col].astype(np.float64)
         for k in range(order):
             cost[first[:-1] + k] = 0
-        return np.add.reduceat(cost, first[:-1])
+        rest = (here < 0) & (not self.whole)
+        for k in range(order):
+            rest[first[:-1] + k] = False
+        at = np.flatnonzero(rest)
+        cost[at] = 0
+        code = np.zeros(len(at), dtype=np.int64)
+        for k in range(order + 1):
+            code = code << BITS | s[at - order + k]
+        return np.add.reduceat(cost, first[:-1]), code, np.diff(np.searchsorted(at, first))
 
 
 def _numpy(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -190,17 +249,66 @@ def _numpy(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(counts: DataFrame, order: int = ORDER, contexts: int = CONTEXTS) -> Trie:
-    """counts as count() gives them. What comes to the driver is bounded by `contexts`
-    contexts an order, with 257 symbols at most each."""
-    grams = []
+    """counts as count() gives them. What comes to the driver is bounded by the contexts of up
+    to LOW bytes and `contexts` ones of each longer order, with 257 symbols at most each."""
+    grams, whole = [], True
     code = counts.where(F.col("code").isNotNull()).select("code", "n")
     for k in range(order, -1, -1):
         if k < order:
             code = code.groupBy((F.col("code") % (1 << BITS * (k + 1))).alias("code")).agg(F.sum("n").alias("n"))
+        if k <= LOW:
+            grams.append(_numpy(code))  # as many as the alphabet allows
+            continue
         shift = F.shiftright(F.col("code"), BITS)
         top = code.groupBy(shift.alias("c")).agg(F.sum("n").alias("m")).orderBy(F.desc("m"), "c").limit(contexts).select("c")
         grams.append(_numpy(code.join(F.broadcast(top), shift == F.col("c"), "left_semi")))  # at most `contexts` rows
-    return Trie(grams[::-1])
+        whole &= len(np.unique(grams[-1][0] >> BITS)) < contexts
+    return Trie(grams[::-1], whole)
+
+
+def unheld(parts: DataFrame, counts: DataFrame, trie: Trie) -> DataFrame:
+    """(row, score): what the symbols that the trie does not score add to each row, from all
+    counts. parts: row and codes."""
+    low = parts.sparkSession.sparkContext.broadcast(trie.low)
+    order, mask = len(trie.child), (1 << BITS * (LOW + 1)) - 1
+    names, most = ["row", "score"], ROWS
+
+    def settled(row: np.ndarray, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        """All rows of some keys."""
+        asked = n == 0
+        keys, key = np.unique(code[asked] >> BITS & mask), code >> BITS & mask
+        known = ~asked & np.isin(key, keys)
+        grams = list(low.value)
+        for k in range(LOW + 1, order + 1):
+            own, of = np.unique(code[known] & ((1 << BITS * (k + 1)) - 1), return_inverse=True)
+            total = np.zeros(len(own), dtype=np.int64)
+            np.add.at(total, of, n[known])
+            grams.append((own, total))
+        rows, of = np.unique(row[asked], return_inverse=True)
+        score = np.bincount(of, code_costs(grams, code[asked]), len(rows))
+        return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(score)], names)
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, limit = [], 0, most
+        for batch in batches:
+            held.append(tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("row", "code", "n")))
+            size += batch.num_rows
+            if size >= limit:
+                row, code, n = (np.concatenate(x) for x in zip(*held))
+                key = code >> BITS & mask
+                cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
+                if cut:
+                    yield settled(row[:cut], code[:cut], n[:cut])
+                held, size = [(row[cut:], code[cut:], n[cut:])], len(row) - cut
+                limit = max(most, 2 * size)
+        if size:
+            yield settled(*(np.concatenate(x) for x in zip(*held)))
+
+    asked = parts.select("row", F.explode("codes").alias("code"), F.lit(0).cast("long").alias("n"))
+    learned = counts.where(F.col("code").isNotNull()).select(F.lit(-1).cast("long").alias("row"), "code", "n")
+    key = F.shiftright("code", BITS).bitwiseAND(F.lit(mask))
+    both = asked.unionByName(learned).withColumn("key", key).repartition("key").sortWithinPartitions("key")
+    return both.drop("key").mapInArrow(local, "row long, score double")
 
 
 def score(docs: DataFrame, counts: DataFrame, trie: Trie, *, keep: list[str], words: int = WORDS) -> DataFrame:
@@ -213,7 +321,7 @@ def score(docs: DataFrame, counts: DataFrame, trie: Trie, *, keep: list[str], wo
     got = top.toArrow()
     common = spark.sparkContext.broadcast((dict(zip(got.column("word").to_pylist(), got.column("n").to_pylist())), trie))
     rare = of_words.join(F.broadcast(top.select("word")), "word", "left_anti") if distinct > words else of_words.where("false")  # top: at most `words` rows
-    names = ["row", "word", "tf", "n_tokens", "n_known", "part", "score"]
+    names = ["row", "word", "tf", "n_tokens", "n_known", "part", "score", "codes"]
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, model = common.value
@@ -222,15 +330,18 @@ def score(docs: DataFrame, counts: DataFrame, trie: Trie, *, keep: list[str], wo
             rows = batch.column("row").to_pylist()
             for at, part in groups(batch.column("text")):
                 raw = [t.encode() for t in part]
-                out: dict[str, list] = {c: [] for c in names}
+                out: dict[str, list] = {c: [] for c in names[:-1]}
                 of: list[int | None] = []
-                for i, (row, t, s) in enumerate(zip(rows[at : at + len(part)], raw, model.score(raw).tolist())):
+                size: list[int] = [0]
+                own_score, codes, n_codes = model.score(raw)
+                for i, (row, t, s, m) in enumerate(zip(rows[at : at + len(part)], raw, own_score.tolist(), n_codes.tolist())):
                     tf = Counter(t.lower().split())
                     tf[b""] = 1
                     met = [(logs[w], n) for w, n in tf.items() if w in logs]
                     rest = [(w, n) for w, n in tf.items() if w not in logs] if len(met) < len(tf) else []
                     # The text's own row has a key that no word equals; the others are joined to counts.
                     of += [at + i] + [None] * len(rest)
+                    size += [m] + [0] * len(rest)
                     out["row"] += [row] * (1 + len(rest))
                     out["word"] += [b" %d" % row, *(w for w, _ in rest)]
                     out["tf"] += [0, *(n for _, n in rest)]
@@ -238,12 +349,17 @@ def score(docs: DataFrame, counts: DataFrame, trie: Trie, *, keep: list[str], wo
                         out[c] += [v] + [empty] * len(rest)
                 kinds = [pa.int64(), pa.binary(), *[pa.int64()] * 3, pa.float64(), pa.float64()]
                 own = [batch.column(c).take(pa.array(of, pa.int64())) for c in keep]
-                yield pa.RecordBatch.from_arrays([*(pa.array(out[c], t) for c, t in zip(names, kinds)), *own], [*names, *keep])
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(size), pa.int32()), pa.array(codes, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(pa.array(out[c], t) for c, t in zip(names, kinds)), lists, *own], [*names, *keep])
 
     rows = docs.withColumn("row", F.monotonically_increasing_id())
     more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    parts = rows.mapInArrow(local, "row long, word binary, tf long, n_tokens long, n_known long, part double, score double" + more)
+    parts = rows.mapInArrow(local, "row long, word binary, tf long, n_tokens long, n_known long, part double, score double, codes array<long>" + more)
+    if not trie.whole:
+        parts = stored(parts, "parts")  # read twice
     joined = parts.join(rare, "word", "left") if distinct > words else parts.withColumn("n", F.lit(None).cast("long"))
+    if not trie.whole:
+        joined = joined.drop("codes").unionByName(unheld(parts, counts, trie), allowMissingColumns=True)
     sums = joined.groupBy("row").agg(
         F.sum("n_tokens").alias("n_tokens"),
         F.sum(F.col("n_known") + F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0)).alias("n_known"),

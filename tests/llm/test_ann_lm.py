@@ -109,6 +109,24 @@ def test_model_and_base_scores(spark):
             assert x.score == pytest.approx(model(t), rel=1e-5, abs=1e-5)
 
 
+@pytest.mark.parametrize("rows", [1 << 18, 7])
+def test_contexts_beyond_the_broadcast_ones(spark, monkeypatch, rows):
+    monkeypatch.setattr(lm, "ROWS", rows)
+    r = random.Random(9)
+    train = ["", "abra cadabra", "é è ñ"] + ["".join(r.choice("abc d\n") for _ in range(r.randrange(60))) for _ in range(40)]
+    rest = ["abracad", "zzz ZZZ qqq", "", "x" * 5000, "abc\x1cabd é", "dab cab" * 9]
+    docs = spark.createDataFrame(list(enumerate(train + rest)), "doc_id long, text string")
+    counts = lm.count(docs.where(f"doc_id < {len(train)}")).cache()
+    model = _brute_trie([t.encode() for t in train], 4)
+    for contexts in (1, 20, 32_768):
+        trie = lm.fit(counts, contexts=contexts)
+        assert trie.whole == (contexts == 32_768)
+        out = lm.score(docs, counts, trie, keep=["doc_id"], words=5).collect()
+        assert sorted(x.doc_id for x in out) == list(range(len(train + rest)))
+        for x in out:
+            assert x.score == pytest.approx(model((train + rest)[x.doc_id].encode()), rel=1e-5, abs=1e-5)
+
+
 def test_probabilities_of_a_context_sum_to_one():
     s, first = lm.symbols([b"abcabcabd", b"xyz"], 2)
     grams = [np.unique(lm._codes(s, first, 2) % (1 << 9 * (k + 1)), return_counts=True) for k in range(3)]
