@@ -40,20 +40,49 @@ def grid(spark, values: dict[str, list] = GRID) -> DataFrame:
     return out
 
 
-def search(rows: DataFrame, *, features: int = 1 << 12, alphas: tuple[float, ...] = (1e-2, 1e-4), nets: tuple[float, ...] = (0.0, 1.0), max_iter: int = 10, parallelism: int = 2) -> DataFrame:
-    """(alpha, net, accuracy): mean accuracy over the folds of hashed words and pairs of words,
-    weighted to length 1, under a linear classifier."""
+#: Share of the absolute penalty.
+NETS = {"l2": 0.0, "l1": 1.0, "elasticnet": 0.15}
+
+
+def _units(rows: DataFrame, features: int, ngram: int, norm: str) -> DataFrame:
+    """(label, unit, fold): words and, up to ngram, runs of them hashed into the same buckets,
+    weighted to length 1."""
     from pyspark.ml import Pipeline
+    from pyspark.ml.feature import HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer
+
+    grams = [NGram(n=n, inputCol="w", outputCol=f"w{n}") for n in range(2, ngram + 1)]
+    terms = SQLTransformer(statement=f"SELECT *, concat({', '.join(['w', *(f'w{n}' for n in range(2, ngram + 1))])}) AS terms FROM __THIS__")
+    steps = [RegexTokenizer(inputCol="x", outputCol="w", pattern=r"\b\w\w+\b", gaps=False), *grams, terms, HashingTF(inputCol="terms", outputCol="f", numFeatures=features), Normalizer(p=float(norm[1:]), inputCol="f", outputCol="unit")]
+    return Pipeline(stages=steps).fit(rows).transform(rows).select(F.col("y").cast("double").alias("label"), "unit", "fold")
+
+
+def _accuracies(ready: DataFrame, alphas, nets, max_iters, parallelism: int) -> list[tuple[float, float, int, float]]:
+    """(alpha, net, max_iter, accuracy): mean accuracy over the folds."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-    from pyspark.ml.feature import HashingTF, NGram, Normalizer, RegexTokenizer, VectorAssembler
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
-    model = LogisticRegression(labelCol="label", featuresCol="unit", maxIter=max_iter)
-    steps = [RegexTokenizer(inputCol="x", outputCol="w", pattern=r"\b\w\w+\b", gaps=False), NGram(n=2, inputCol="w", outputCol="w2"), HashingTF(inputCol="w", outputCol="f1", numFeatures=features), HashingTF(inputCol="w2", outputCol="f2", numFeatures=features), VectorAssembler(inputCols=["f1", "f2"], outputCol="f"), Normalizer(p=2.0, inputCol="f", outputCol="unit")]
-    ready = Pipeline(stages=steps).fit(rows).transform(rows).select(F.col("y").cast("double").alias("label"), "unit", "fold").persist()
-    params = ParamGridBuilder().addGrid(model.regParam, list(alphas)).addGrid(model.elasticNetParam, list(nets)).build()
+    ready = ready.persist()
+    model = LogisticRegression(labelCol="label", featuresCol="unit")
+    params = ParamGridBuilder().addGrid(model.regParam, list(alphas)).addGrid(model.elasticNetParam, list(nets)).addGrid(model.maxIter, list(max_iters)).build()
     found = CrossValidator(estimator=model, estimatorParamMaps=params, evaluator=MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy"), numFolds=5, foldCol="fold", parallelism=parallelism).fit(ready)
     ready.unpersist()
-    got = [(float(p[model.regParam]), float(p[model.elasticNetParam]), float(a)) for p, a in zip(params, found.avgMetrics)]
-    return rows.sparkSession.createDataFrame(got, "alpha double, net double, accuracy double")
+    return [(float(p[model.regParam]), float(p[model.elasticNetParam]), int(p[model.maxIter]), float(a)) for p, a in zip(params, found.avgMetrics)]
+
+
+def search(rows: DataFrame, *, features: int = 1 << 12, alphas: tuple[float, ...] = (1e-2, 1e-4), nets: tuple[float, ...] = (0.0, 1.0), max_iter: int = 10, parallelism: int = 2) -> DataFrame:
+    """(alpha, net, accuracy): a small search over words and pairs of words."""
+    got = _accuracies(_units(rows, features, 2, "l2"), alphas, nets, [max_iter], parallelism)
+    return rows.sparkSession.createDataFrame([(a, n, x) for a, n, _, x in got], "alpha double, net double, accuracy double")
+
+
+def search_grid(rows: DataFrame, values: dict[str, list] = GRID, *, features: int = 1 << 18, parallelism: int = 2) -> DataFrame:
+    """(norm, ngram, alpha, max_iter, penalty, accuracy): mean accuracy over the folds under a
+    linear classifier, for every combination of the values."""
+    names = {NETS[p]: p for p in values["penalty"]}
+    got = []
+    for norm in values["norm"]:
+        for ngram in values["ngram"]:
+            found = _accuracies(_units(rows, features, ngram, norm), values["alpha"], names, values["max_iter"], parallelism)
+            got += [(norm, ngram, a, m, names[n], x) for a, n, m, x in found]
+    return rows.sparkSession.createDataFrame(got, "norm string, ngram int, alpha double, max_iter int, penalty string, accuracy double")

@@ -368,7 +368,7 @@ def text_hashing_tf(spark, d):
 
 @query()
 def grid_search(spark, d):
-    return tuning.search(tuning.folds(_lines(spark, d), "doc_id"))
+    return tuning.search_grid(tuning.folds(_lines(spark, d), "doc_id"))
 
 
 # Rate limit -----------------------------------------------------------------------------

@@ -89,6 +89,21 @@ def test_search(spark):
     assert len(out) == 4 and max(r.accuracy for r in out) > 0.9
 
 
+def test_search_over_all_parameters(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, i % 2, ("good fine nice" if i % 2 else "bad poor sad") + f" word{i}") for i in range(30)], "i long, y int, x string")
+    values = {"norm": ["l1", "l2"], "ngram": [1, 2], "alpha": [1e-2], "max_iter": [2], "penalty": ["l2", "elasticnet"]}
+    out = tuning.search_grid(tuning.folds(rows, "i"), values, features=256).collect()
+    assert sorted(tuple(r)[:5] for r in out) == sorted(tuple(r) for r in tuning.grid(spark, values).collect()) and max(r.accuracy for r in out) > 0.9
+    # HashingTF counts: unigrams only, or pairs in the same buckets; entries sum to 1 under l1.
+    one, two = (tuning._units(tuning.folds(rows, "i"), 1 << 18, n, "l1").first().unit for n in (1, 2))
+    assert (one.numNonzeros(), two.numNonzeros(), two.size) == (4, 7, 1 << 18) and two.norm(1) == pytest.approx(1)
+    # The registered query searches all of GRID with 2^18 buckets.
+    monkeypatch.setattr(tuning, "_units", lambda rows, features, ngram, norm: (features, ngram, norm))
+    monkeypatch.setattr(tuning, "_accuracies", lambda ready, alphas, nets, iters, _: [(a, n, m, 0.0) for a in alphas for n in nets for m in iters if ready[0] == 1 << 18])
+    found = queries.QUERIES["grid_search"](spark, "/root/testdata/sf0.001").drop("accuracy")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, tuning.grid(spark).collect())) and found.count() == 192
+
+
 def test_permits_of_a_stream(spark, tmp_path):
     rows = [(i, 1_700_000_000 + i // 4) for i in range(20)]
     spark.createDataFrame(rows, "event_id long, s long").select("event_id", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.parquet(f"{tmp_path}/in")
