@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloam.llm import classifier, jaccard, packing, pii, suffixes
-from sparkloam.llm.common import held_out, row_key, stored, table
+from sparkloam.llm.common import WS, held_out, row_key, stored, table
 
 
 def _same_columns(changed: DataFrame, docs: DataFrame) -> DataFrame:
@@ -26,13 +26,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps, of the documents linked by shingles of 5 words at 0.8 or more, the one with the
-    smallest id, and every document without words."""
-    found = jaccard.join(docs, n=5, num=80, den=100)
-    linked = found.where(F.col("n_shingles") > 0).groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "rk")).alias("r"))
-    kept = linked.select("r.doc_id", "r.rk").unionByName(found.where(F.col("n_shingles") == 0).select("doc_id", "rk").distinct())
-    kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("rk").alias("kept_rk"))
-    rows = docs.withColumn("_rk", row_key("doc_id", F.coalesce("text", F.lit(""))))
-    return rows.join(kept, (F.col("_rk") == F.col("kept_rk")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))).dropDuplicates(["_rk", "doc_id"]).select(*docs.columns)
+    smallest id, and every row without words as it is."""
+    text = F.coalesce("text", F.lit(""))
+    worded = text.rlike(f"[^{WS}]")
+    found = jaccard.join(docs.where(worded), n=5, num=80, den=100)
+    linked = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "rk")).alias("r"))
+    kept = linked.select(F.col("r.doc_id").alias("kept_id"), F.col("r.rk").alias("kept_rk"))
+    rows = docs.where(worded).withColumn("_rk", row_key("doc_id", text))
+    one = rows.join(kept, (F.col("_rk") == F.col("kept_rk")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))).dropDuplicates(["_rk", "doc_id"]).select(*docs.columns)
+    return one.unionByName(docs.where(~worded))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,6 +28,15 @@ def test_stages_take_effect(spark, tmp_path):
     assert max(bins.values()) <= 2048 and {r.doc_id for r in seen[-1].select("doc_id").distinct().collect()} == set(texts[4])
 
 
+def test_rows_without_words_stay(spark):
+    text = "one two three four five six seven"
+    rows = [(None, None, "a"), (None, None, "b"), (None, "", "a"), (None, " \t\x0b", "a"), (3, "", "a"), (3, "", "a"), (4, text, "a"), (4, text, "a"), (5, text, "b"), (6, "word", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = corpus_pipeline.near_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, rows[:7] + rows[9:]))
+
+
 def test_registered(spark):
     names = __spark_entry__.queries()
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
