@@ -103,10 +103,12 @@ class Encoder:
         return out
 
     def leaves(self, texts: list[str]) -> list[np.ndarray]:
-        runs = [[t] if _ODD.search(t) else _RUNS.findall(t) for t in texts]
-        new = list(set().union(*runs).difference(self.kept))
+        odd = [t for t in texts if _ODD.search(t)]
+        whole = (x for a in range(0, len(odd), 1000) for x in self._plain(odd[a : a + 1000]))
+        runs = [None if _ODD.search(t) else _RUNS.findall(t) for t in texts]
+        new = list(set().union(*filter(None, runs)).difference(self.kept))
         self.kept.update(self._each(new))
-        out = [np.frombuffer(b"".join(map(self.kept.__getitem__, r)), dtype="<u4") for r in runs]
+        out = [np.frombuffer(next(whole) if r is None else b"".join(map(self.kept.__getitem__, r)), dtype="<u4") for r in runs]
         forget(self.kept, new, KEPT)
         return out
 
@@ -165,9 +167,11 @@ def encoder(path: str, leaf: int) -> Encoder:
 
 
 def forget(kept: dict, new: list, most: int) -> None:
-    """Takes the last of the new keys out again, down to so many in all."""
-    for key in new[max(0, len(new) - max(0, len(kept) - most)) :]:
-        del kept[key]
+    """Takes the last of the new keys out again, down to so many in all, and long ones."""
+    first = max(0, len(new) - max(0, len(kept) - most))
+    for i, key in enumerate(new):
+        if i >= first or len(key) > 64:
+            del kept[key]
 
 
 def groups(values: pa.Array | list[str], chars: int = 1 << 21, rows: int = 1024) -> Iterator[tuple[int, list[str]]]:

@@ -52,6 +52,13 @@ class Words:
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """By the tokenizer itself."""
+        out = []
+        for a in range(0, len(texts), 1000):
+            out += [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts[a : a + 1000], add_special_tokens=False)]
+        return out
+
     def _each(self, words: list[str]) -> dict[str, bytes]:
         """Words of letters only are one pre-token each: many are encoded as one text and
         told apart by the tokens that end a word."""
@@ -63,16 +70,16 @@ class Words:
             ids = self.fast.encode_to_numpy(" ".join(part) + " ")
             raw, ends = ids.astype("<u4").tobytes(), (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
             out.update(zip(part, [raw[x:y] for x, y in zip([0, *ends], ends)], strict=True))
-        for a in range(0, len(rest), 1000):
-            part = rest[a : a + 1000]
-            out.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)))
+        out.update(zip(rest, self._plain(rest), strict=True))
         return out
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        words = [[t] if _FAR.search(t) else _STOP.sub(r" \g<0>", t.lower()).split() for t in texts]
-        new = list(set().union(*words).difference(self.kept))
+        far = [t for t in texts if _FAR.search(t)]
+        whole = iter(self._plain(far))
+        words = [None if _FAR.search(t) else _STOP.sub(r" \g<0>", t.lower()).split() for t in texts]
+        new = list(set().union(*filter(None, words)).difference(self.kept))
         self.kept.update(self._each(new))
-        out = [b"".join(map(self.kept.__getitem__, w)) for w in words]
+        out = [next(whole) if w is None else b"".join(map(self.kept.__getitem__, w)) for w in words]
         forget(self.kept, new, KEPT)
         return out
 

@@ -14,6 +14,7 @@ from sparkloam.llm import bpe, packing
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 HARD = [
     None, "", " ", "\n\n  \n", "a" * 9000, "don't we'll 'sabc ''ll !'re" * 300, "x<|endoftext|>y" * 400, "é日本語 ñ" * 900, " a　 b\x1c c\t\td " * 500,
+    "ПРИВЕТ", "ΑΒΓ", "Ａ", "ẞ", "Ωmega", "Å", "İ", "ΟΔΟΣ", "ǅ", "ŉ", "ﬁ", "가각", "e\u0301", "A\u030a", "ÀÉÎÕÜ", "Ǆ", "K", "\u2126", "ａｂＣ", "x" * 500,
     "1234567890" * 1200, "#'s!!'ll" * 900, " " * 7000 + "end", "\n" * 5000, "word " * 4000, "🎉👨‍👩‍👧" * 700, "<|startoftext|>Hi<|endoftext|> İstanbul ǅ" * 200,
 ]
 
@@ -54,6 +55,19 @@ def test_words_as_the_library(spark):
         assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t[:80]
 
 
+def test_short_texts_of_any_script():
+    """One word, or a few, from all of the lower planes: what normalising changes is encoded as the library does."""
+    r = random.Random(3)
+    letters = [chr(c) for c in [*range(33, 0x600), *range(0x1E00, 0x2200), *range(0x3040, 0x3100), *range(0xAC00, 0xAC80), *range(0xFB00, 0xFB10), *range(0xFF10, 0xFF60)]]
+    one = [c * k for c in letters for k in (1, 2)]
+    texts = one + ["".join(r.choice(letters[: r.choice([200, len(letters)])]) for _ in range(r.randrange(1, 9))) for _ in range(6000)]
+    texts += [" ".join(r.sample(texts, 3)) for _ in range(1500)]
+    for path, encode in ((WORD, lambda x: packing.Words(WORD).ids(x)), (BYTE, lambda x: [i.tobytes() for i in bpe.Encoder(BYTE, 4).encode(x)])):
+        want = Tokenizer.from_file(path).encode_batch_fast(texts, add_special_tokens=False)
+        wrong = [t for t, ids, e in zip(texts, encode(texts), want) if np.frombuffer(ids, "<u4").tolist() != e.ids]
+        assert not wrong, wrong[:5]
+
+
 @pytest.mark.parametrize("path,pattern,end", [(BYTE, " [^ ]+", ""), (WORD, "[^ ]+ ", "</w>")])
 def test_merging_by_rank_is_merging_by_rules(path, pattern, end):
     """Ids follow the merges, and every token is what its own bytes are encoded as."""
