@@ -70,3 +70,29 @@ def barrier_gather(spark, n: int) -> DataFrame:
         yield ctx.partitionId(), len(got), sum(got)
 
     return spark.createDataFrame(spark.sparkContext.parallelize(range(n), n).barrier().mapPartitions(run), "worker int, n int, total int")
+
+
+def fits(rows: DataFrame) -> DataFrame:
+    """(worker, n, slope): each worker's least-squares slope of y over x, as one job a worker;
+    rows (worker, x, y) are first summed up a part at a time, so that no worker holds its rows."""
+    part = F.spark_partition_id()
+    sums = [F.count("*").alias("n"), *(F.sum(e).alias(c) for c, e in (("sx", F.col("x")), ("sy", F.col("y")), ("sxx", F.col("x") * F.col("x")), ("sxy", F.col("x") * F.col("y"))))]
+
+    def fit(pdf):
+        n, sx, sy, sxx, sxy = (pdf[c].sum() for c in ("n", "sx", "sy", "sxx", "sxy"))
+        low = n * sxx - sx * sx
+        return pdf.head(1)[["worker"]].assign(n=int(n), slope=float((n * sxy - sx * sy) / low) if low else None)
+
+    return rows.groupBy("worker", part.alias("part")).agg(*sums).groupBy("worker").applyInPandas(fit, "worker long, n long, slope double")
+
+
+def invoked(params: DataFrame, action) -> DataFrame:
+    """(worker, result): action, from a dict to a dict, on the JSON arguments of every row."""
+    import json
+
+    def run(batches):
+        for pdf in batches:
+            results = [json.dumps(action(json.loads(a)), separators=(",", ":")) for a in pdf["args"]]
+            yield pdf[["worker"]].assign(result=results)
+
+    return params.select(F.col("worker").cast("int").alias("worker"), "args").mapInPandas(run, "worker int, result string")

@@ -23,8 +23,16 @@ def node_ranges(edges: DataFrame, parts: int) -> DataFrame:
 
 
 def weighted(edges: DataFrame, nodes: int) -> DataFrame:
-    """(src, dst, share): what part of its rank a source sends; joined once, then kept."""
-    return cut(distinct_edges(edges, nodes).join(outdegree(edges), "src").select("src", "dst", "outdegree"))
+    """(src, dst, outdegree), joined once and kept as dealt by source, so that no iteration
+    shuffles edges: ranks move to them, and sums back."""
+    conf, key = edges.sparkSession.conf, "spark.sql.adaptive.enabled"
+    parts, before = int(conf.get("spark.sql.shuffle.partitions")), conf.get(key)
+    out = cut(distinct_edges(edges, nodes).join(outdegree(edges), "src").select("src", "dst", "outdegree"))
+    conf.set(key, "false")  # a plan that may still change does not tell how it deals its rows
+    try:
+        return cut(out.repartition(parts, "src"))
+    finally:
+        conf.set(key, before)
 
 
 def start(spark, nodes: int) -> DataFrame:

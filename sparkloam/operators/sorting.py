@@ -59,3 +59,13 @@ def unsorted_pairs(df: DataFrame, key: str, ties: tuple[str, ...]) -> DataFrame:
     """(bucket, n, unsorted): neighbours within a bucket that are out of order."""
     w = Window.partitionBy("bucket").orderBy(key, *ties)
     return df.withColumn("_before", F.lag(key).over(w)).groupBy("bucket").agg(F.count("*").alias("n"), F.count_if(F.col("_before") > F.col(key)).alias("unsorted"))
+
+
+def range_buckets(df: DataFrame, key: str, limits: DataFrame) -> DataFrame:
+    """The same buckets as bucket(), by a join of keys to ranges (low, high]; limits: (i, bound)."""
+    w = Window.orderBy("i")  # a row a bound
+    ranges = limits.select(F.col("i").cast("int").alias("i"), F.lag("bound").over(w).alias("low"), F.col("bound").alias("high"))
+    last = limits.agg(F.max("i").alias("i"), F.max("bound").alias("low")).select((F.coalesce("i", F.lit(0)) + 1).cast("int").alias("i"), "low", F.lit(None).cast("string").alias("high"))
+    ranges = F.broadcast(ranges.unionByName(last))
+    inside = (F.col("low").isNull() | (F.col("low") < F.col(key))) & (F.col("high").isNull() | (F.col(key) <= F.col("high")))
+    return df.where(F.col(key).isNotNull()).join(ranges, inside).withColumn("bucket", F.col("i") - 1).drop("i", "low", "high")

@@ -21,6 +21,11 @@ def cap(rows: DataFrame, order: list[str], chars: int) -> DataFrame:
     return running_sum(rows, order, F.length("x").cast("long"), "before").where(F.col("before") <= chars)
 
 
+def first_lines(rows: DataFrame, order: list[str], lines: int) -> DataFrame:
+    """At most so many rows, the first in order; the limit is the feature."""
+    return ranked(rows, order, "_place").where(F.col("_place") < lines).drop("_place")
+
+
 def folds(rows: DataFrame, order: str, k: int = 5) -> DataFrame:
     """Unshuffled stratified folds: each label's rows in order, in k near-equal runs."""
     placed = ranked(rows, ["y", order])

@@ -47,3 +47,14 @@ def shards(spark: SparkSession, n: int, split: int) -> DataFrame:
 def group_ranges(spark: SparkSession, burst: int, groups: int) -> DataFrame:
     each = burst // groups
     return spark.range(groups).select(F.col("id").alias("group_id"), (F.col("id") * each).alias("first"), ((F.col("id") + 1) * each).alias("last"))
+
+
+def rows_of_splits(rows: DataFrame, plan: DataFrame, at: str) -> DataFrame:
+    """Rows with the split of a plan (half-open first, last) in which they start."""
+    limits = F.broadcast(plan)  # a row a split
+    return rows.join(limits, (F.col(at) >= F.col("first")) & (F.col(at) < F.col("last")))
+
+
+def mib_share(rows: DataFrame, total: float) -> DataFrame:
+    """MiB of the input for each group of `granularity` workers."""
+    return rows.withColumn("mib", F.lit(total) / (F.col("workers") / F.col("granularity")))

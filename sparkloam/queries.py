@@ -211,17 +211,23 @@ def kmeans_inertia(spark, d):
 
 
 # Collectives ----------------------------------------------------------------------------
-W = f"w AS (SELECT n_nationkey::BIGINT AS worker, n_name AS data FROM nation WHERE n_nationkey < {WORKERS})"
-ALL = f"{W}, m AS (SELECT j AS worker, worker AS src, data || ':' || j AS data FROM w, range({WORKERS}) t(j))"
+W = "w AS (SELECT n_nationkey::BIGINT AS worker, n_name AS data FROM nation)"
+ALL = f"{W}, m AS (SELECT b.worker, a.worker AS src, a.data || ':' || b.worker AS data FROM w a, w b)"
 
 
 def _workers(spark, d):
-    return table(spark, d, "nation").where(F.col("n_nationkey") < WORKERS).select(F.col("n_nationkey").cast("long").alias("worker"), F.col("n_name").alias("data"))
+    """Every nation is a worker; of 25 the last group is smaller, and the last has no pair."""
+    return table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("worker"), F.col("n_name").alias("data"))
 
 
-@query(f"WITH {W} SELECT worker - 12 AS worker, worker AS src, data FROM w WHERE worker >= 12")
+def _all(spark, d):
+    workers = _workers(spark, d)
+    return workers, workers.count()
+
+
+@query(f"WITH {W}, h AS (SELECT count(*) // 2 AS half FROM w) SELECT worker - half AS worker, worker AS src, data FROM w, h WHERE worker >= half AND worker < 2 * half")
 def coll_pair(spark, d):
-    return collectives.pair(_workers(spark, d), WORKERS)
+    return collectives.pair(*_all(spark, d))
 
 
 @query(f"WITH {W} SELECT a.worker, b.worker AS src, b.data FROM w a, w b WHERE b.worker = 0")
@@ -242,7 +248,7 @@ def coll_gather(spark, d):
 
 @query(f"WITH {ALL} SELECT worker, src, data FROM m")
 def coll_all_to_all(spark, d):
-    return collectives.all_to_all(_workers(spark, d), WORKERS)
+    return collectives.all_to_all(*_all(spark, d))
 
 
 @query(f"WITH {W} SELECT unnest([0, 1, 2]) AS dim, unnest([sum(worker), sum(length(data)), count(*)])::BIGINT AS total FROM w")
@@ -258,12 +264,12 @@ def coll_group_gather(spark, d):
 
 @query(f"WITH {ALL} SELECT worker, src, data, k AS round FROM m, range(2) t(k) WHERE worker <> src")
 def coll_shuffle_repeat(spark, d):
-    return collectives.shuffle_repeat(_workers(spark, d), WORKERS, 2)
+    return collectives.shuffle_repeat(*_all(spark, d), 2)
 
 
 @query(f"WITH {ALL} SELECT worker, count(*) AS messages, sum(strlen(data))::BIGINT AS bytes FROM m GROUP BY worker")
 def coll_received(spark, d):
-    return collectives.received(collectives.all_to_all(_workers(spark, d), WORKERS))
+    return collectives.received(collectives.all_to_all(*_all(spark, d)))
 
 
 @query("SELECT id::INT AS worker, 4 AS n, 6 AS total FROM range(4) t(id)")
@@ -311,10 +317,10 @@ def stage_durations(spark, d):
     return metrics.phases(_stamps(spark, d), STAMPS).groupBy("phase").agg(F.count("*").alias("n"), F.min("ms").alias("least"), F.max("ms").alias("most"), F.sum("ms").alias("total"))
 
 
-@query("WITH m AS (SELECT o_orderkey % 64 AS fn_id, max((epoch_us(o_orderdate) // 1000)) AS end_map FROM orders GROUP BY 1), r AS (SELECT l_suppkey AS fn_id, max((epoch_us(l_shipdate) // 1000)) AS end_reduce FROM lineitem WHERE l_suppkey < 48 GROUP BY 1) SELECT m.fn_id, end_map, end_reduce FROM m LEFT JOIN r ON m.fn_id = r.fn_id")
+@query("WITH m AS (SELECT o_orderkey % 64 AS fn_id, max((epoch_us(o_orderdate) // 1000)) AS end_map FROM orders GROUP BY 1), r AS (SELECT l_suppkey % 48 AS fn_id, max((epoch_us(l_shipdate) // 1000)) AS end_reduce FROM lineitem GROUP BY 1) SELECT m.fn_id, end_map, end_reduce FROM m LEFT JOIN r ON m.fn_id = r.fn_id")
 def map_reduce_stats(spark, d):
     own = table(spark, d, "orders").groupBy((F.col("o_orderkey") % 64).alias("fn_id")).agg(F.max(_ms("o_orderdate")).alias("end_map"))
-    got = table(spark, d, "lineitem").where(F.col("l_suppkey") < 48).groupBy(F.col("l_suppkey").alias("fn_id")).agg(F.max(_ms("l_shipdate")).alias("end_reduce"))
+    got = table(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 48).alias("fn_id")).agg(F.max(_ms("l_shipdate")).alias("end_reduce"))
     return metrics.joined_stages(own, got)
 
 

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from sparkloam import queries
+from sparkloam import queries, queries_io  # noqa: F401
 
 D = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings labels".split()
