@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -31,7 +32,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share.
 
-    Where it is unset, as in tests in one process, a folder of this process is set.
+    Where it is unset and all runs in one process, as in tests, a folder of this process is
+    set; on a cluster that is an error, since a folder of one machine is of no use to others.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir")
@@ -39,20 +41,42 @@ def shared_dir(spark: SparkSession) -> str:
         jdir = sc._jsc.sc().getCheckpointDir()
         if jdir.isDefined():
             return jdir.get()
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(found := tempfile.mkdtemp(prefix="sparkloam-"))
     return found
 
 
+#: Frees the shuffle files of a query as soon as it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again.
 
-    Later steps then depend on files that outlive any executor and not on shuffles.
+    Later steps then depend on files that outlive any executor and not on shuffles, whose
+    files are freed when the table is written. discard() deletes the table.
     """
     spark = df.sparkSession
     small_batches(spark)
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes tables of stored() that no later step reads."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def held_out(column: str, buckets: int, bucket: int):

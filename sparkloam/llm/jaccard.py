@@ -32,18 +32,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import groups
-from .common import row_key, stored, table
+from .common import discard, row_key, stored, table
 
-BUCKETS, BLOCKS = 1 << 21, 32
+BUCKETS, BLOCKS = 1 << 21, 256
 #: Odd multipliers that mix word hashes.
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
 
 class _Hashes(dict):
+    """Hashes of words; those of short ones are kept, up to a number."""
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = out = xxhash.xxh64_intdigest(word)
+        out = xxhash.xxh64_intdigest(word)
+        if len(word) <= 64:
+            if len(self) > 100_000:
+                self.clear()
+            self[word] = out
         return out
 
 
@@ -129,15 +133,19 @@ def _prefixes(rows: DataFrame, n: int, num: int, den: int, kind: str) -> DataFra
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are similar enough."""
-    pairs = stored(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(nodes.select("key", "rk"), "key")
+    """The pairs (a, b) of nodes whose sets are similar enough, as a stored table."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("id", "key", "rk"), "id")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Shingles(n)
         for batch in batches:
             for at, part in groups(batch.column("text")):
-                yield pa.RecordBatch.from_arrays([batch.column("key").slice(at, len(part)), pa.array([of(t).tobytes() for t in part], pa.binary())], ["key", "s"])
+                sets = [of(t).tobytes() for t in part]
+                # Texts may share a row key by chance; the digest tells which one is meant.
+                keys = batch.column("key").slice(at, len(part)).to_pylist()
+                same = pa.array([xxhash.xxh3_128_digest(x) == k for x, k in zip(sets, keys)], pa.bool_())
+                out = [batch.column("id").slice(at, len(part)), pa.array(sets, pa.binary())]
+                yield pa.RecordBatch.from_arrays(out, ["id", "s"]).filter(same)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,14 +157,18 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, n: int, num:
                 keep.append(den * both >= num * (len(p) + len(q) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sets = stored(rows.join(wanted, "rk").select("key", "text").mapInArrow(whole, "key binary, s binary").dropDuplicates(["key"]), "sets")
-    both = pairs.join(sets.select(F.col("key").alias("b"), F.col("s").alias("y")), "b").join(sets.select(F.col("key").alias("a"), F.col("s").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(compare, "a binary, b binary")
+    sets = rows.join(wanted, "rk").select("id", "key", "text").mapInArrow(whole, "id long, s binary").dropDuplicates(["id"])
+    sets = stored(sets, "sets")
+    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+    both = both.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a")
+    links = stored(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "links")
+    discard(sets)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(key, root) for the ends of links (a, b): the smallest key reachable, by alternating
-    stars. Each round is written out, so that no lineage grows."""
+    """(id, root) for the ends of links (a, b): the smallest id reachable, by alternating
+    stars. Each round is written out, so that no lineage grows, and the one before deleted."""
     edges = stored(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     while True:
@@ -167,10 +179,14 @@ def components(links: DataFrame) -> DataFrame:
         # Small star: the smaller neighbours and the node itself are hung to the smallest.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = stored(small.where(F.col("u") != F.col("v")).distinct(), "edges")
+        new = stored(small.where(F.col("u") != F.col("v")).distinct(), "edges")
+        discard(edges)
+        edges = new
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
-            return edges.select(F.col("u").alias("key"), F.col("v").alias("root"))
+            out = edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
+            out._stored_at = edges._stored_at
+            return out
         before = now
 
 
@@ -181,53 +197,65 @@ def _fits(n1: Column, p1: Column, n2: Column, p2: Column, num: int, den: int) ->
 
 
 def join(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, rk, n_shingles, component_id), one row per row. Rows are linked if
-    den * intersection >= num * union of their n-word shingles."""
+    """(doc_id, rk, n_shingles, component_id, component), one row per row. Rows are linked if
+    den * intersection >= num * union of their n-word shingles. component tells components
+    apart even if ids are null or repeat; it is null without shingles."""
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", row_key("doc_id", "text").alias("rk"), "text")
     own = stored(_prefixes(rows, n, num, den, kind), "prefixes")
-    full = own.where(F.col("key").isNotNull())
-    nodes = stored(full.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("rk").alias("rk"), F.first("n").alias("n"), F.first("same").alias("same")), "nodes")
+    # A group is known by a hash of what its members share. Should two groups meet in one
+    # number, more pairs are compared; none is lost.
+    full = own.where(F.col("key").isNotNull()).withColumn("gid", F.xxhash64("n", "same"))
+    nodes = full.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("rk").alias("rk"), F.first("n").alias("n"), F.first("gid").alias("gid"))
+    nodes = stored(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    firsts = nodes.groupBy("gid").agg(F.min(F.struct("doc_id", "id")).alias("f")).select("gid", F.col("f.id").alias("first"))
     # Groups, posted under the shingles of their prefix; shingles of one group lead nowhere.
-    grouped = full.groupBy("n", "same").agg(F.min(F.struct("doc_id", "key")).alias("g"), F.first("prefix").alias("prefix"))
-    posts = grouped.select("g", "n", F.posexplode("prefix").alias("pos", "token"))
-    # Most shingles lie in one group only. Counts of groups find the others, so that leaders and
-    # their ids are moved for shared shingles alone; counting g keeps one exchange for both sides.
-    shared = posts.groupBy("token").agg(F.count("g").alias("many")).where(F.col("many") > 1).select("token")
-    posts = stored(posts.join(shared, "token").select("token", "g", "n", "pos"), "shared")
-    heads = posts.groupBy("token").agg(F.min(F.struct("g", "n", "pos")).alias("head"))
-    posts = stored(posts.join(heads, "token").select("token", F.col("g.key").alias("gid"), "n", "pos", "head"), "posts")
-    members = nodes.join(grouped.select("n", "same", F.col("g.key").alias("gid")), ["n", "same"]).select("key", "gid", "n")
-    members = stored(members, "members")
+    grouped = full.groupBy("gid", "n", "same").agg(F.min("doc_id").alias("lead"), F.first("prefix").alias("prefix"))
+    posts = grouped.select("gid", "lead", "n", F.posexplode("prefix").alias("pos", "token"))
+    shared = posts.groupBy("token").agg(F.count("gid").alias("many")).where(F.col("many") > 1).select("token")
+    posts = stored(posts.join(shared, "token").select("token", "lead", "gid", "n", "pos"), "posts")
     # Round one: to the leader of each shingle, and to the first of each group.
-    star = posts.where((F.col("gid") != F.col("head.g.key")) & _fits(F.col("n"), F.col("pos"), F.col("head.n"), F.col("head.pos"), num, den))
-    star = star.select(F.col("head.g.key").alias("a"), F.col("gid").alias("b"))
-    star = star.unionByName(members.where(F.col("key") != F.col("gid")).select(F.col("gid").alias("a"), F.col("key").alias("b"))).distinct()
-    links = stored(_verified(star, nodes, rows, n, num, den), "links")
-    # Round two: whatever is still in different components. A group is a bucket, too.
-    roots = stored(components(links), "roots")
-    rooted = members.join(roots, "key", "left").select("key", "gid", "n", F.coalesce("root", "key").alias("root"))
-    inside = rooted.select(F.col("gid").alias("bucket"), "key", "n", F.lit(0).alias("pos"), "root")
-    under = posts.select(F.hex("token").cast("binary").alias("bucket"), "gid", "pos").join(rooted, "gid").select("bucket", "key", "n", "pos", "root")
-    spread = inside.unionByName(under)
-    shares = spread.groupBy("bucket", "root").agg(F.count("*").alias("many"))
-    main = shares.groupBy("bucket").agg(F.count("*").alias("roots"), F.max(F.struct("many", "root")).alias("most")).where(F.col("roots") > 1)
-    spread = stored(spread.join(main.select("bucket", F.col("most.root").alias("main")), "bucket"), "spread")
-    x, y = spread.where(F.col("root") != F.col("main")).alias("x"), spread.alias("y")
-    apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.key") < F.col("y.key")))
+    heads = posts.groupBy("token").agg(F.min(F.struct("lead", "gid", "n", "pos")).alias("head"))
+    star = posts.join(heads, "token").where((F.col("gid") != F.col("head.gid")) & _fits(F.col("n"), F.col("pos"), F.col("head.n"), F.col("head.pos"), num, den))
+    star = star.select(F.col("head.gid").alias("x"), F.col("gid").alias("y")).distinct()
+    star = star.join(firsts.select(F.col("gid").alias("y"), F.col("first").alias("b")), "y").join(firsts.select(F.col("gid").alias("x"), F.col("first").alias("a")), "x").select("a", "b")
+    inside = nodes.join(firsts, "gid").where(F.col("id") != F.col("first")).select(F.col("first").alias("a"), F.col("id").alias("b"))
+    star = stored(star.unionByName(inside), "pairs")
+    links = _verified(star, nodes, rows, n, num, den)
+    first_roots = components(links)
+    # Round two: whatever is still in different components. A group is a bucket, too, and of
+    # shingles only those are spread to members whose groups differ in their components.
+    rooted = stored(nodes.join(first_roots, "id", "left").select("id", "gid", "n", F.coalesce("root", "id").alias("root")), "rooted")
+    ends = rooted.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    mixed = posts.join(ends, "gid").groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high")).where(F.col("low") < F.col("high")).select("token")
+    kept = rooted.join(ends.where(F.col("low") < F.col("high")).select("gid"), "gid")
+    spread = kept.select(F.lit(0).alias("what"), F.col("gid").alias("bucket"), "id", "n", F.lit(0).alias("pos"), "root")
+    under = posts.join(mixed, "token").select("token", "gid", "pos").join(rooted, "gid")
+    spread = stored(spread.unionByName(under.select(F.lit(1).alias("what"), F.col("token").alias("bucket"), "id", "n", "pos", "root")), "spread")
+    discard(posts, rooted, links)
+    shares = spread.groupBy("what", "bucket", "root").agg(F.count("*").alias("many"))
+    main = shares.groupBy("what", "bucket").agg(F.max(F.struct("many", "root")).alias("most")).select("what", "bucket", F.col("most.root").alias("main"))
+    told = stored(spread.join(main, ["what", "bucket"]), "told")
+    discard(spread)
+    x, y = told.where(F.col("root") != F.col("main")).alias("x"), told.alias("y")
+    apart = (F.col("x.what") == F.col("y.what")) & (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root"))
+    apart &= (F.col("y.root") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
     rest = x.join(y, apart & _fits(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), num, den))
-    rest = rest.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
-    rest = rest.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    rest = rest.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    rest = stored(rest.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
+    discard(told, star)
     more = _verified(rest, nodes, rows, n, num, den)
     # The components of both rounds' links: roots of the first stand for their components.
-    roots = components(roots.select(F.col("key").alias("a"), F.col("root").alias("b")).unionByName(more))
-    at = nodes.join(roots, "key", "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
+    roots = components(first_roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more))
+    discard(rest, more, first_roots)
+    at = nodes.join(roots, "id", "left").select("key", "doc_id", F.coalesce("root", "id").alias("root"))
     least = at.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = at.join(least, "root").select("key", "component_id")
+    named = at.join(least, "root").select("key", "component_id", F.col("root").alias("component"))
     out = own.select("doc_id", "rk", F.col("n").alias("n_shingles"), "key").join(named, "key", "left")
-    return out.select("doc_id", "rk", "n_shingles", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    name = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "rk", "n_shingles", name.alias("component_id"), "component")
 
 
 def op4_group_jaccard(spark, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents"), n=3, num=90, den=100).drop("rk")
+    return join(table(spark, sf_dir, "documents"), n=3, num=90, den=100).drop("rk", "component")
