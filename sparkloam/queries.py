@@ -365,11 +365,18 @@ def param_grid(spark, d):
     return tuning.grid(spark)
 
 
-@query("WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_][a-z0-9_]+')) AS w FROM documents), h AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 4))::INT % 1024 AS b FROM t) SELECT doc_id, count(DISTINCT b) AS buckets, count(*) AS terms FROM h GROUP BY 1")
+TERMS = "t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_][a-z0-9_]+') AS w FROM documents), u AS (SELECT doc_id, unnest(w) AS t FROM t UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM t), h AS (SELECT doc_id, ('0x' || substr(md5(t), 1, 5))::INT % 262144 AS b, count(*) AS n FROM u GROUP BY 1, 2)"
+
+
+@query(f"WITH {TERMS} SELECT doc_id, count(*) AS buckets, sum(n)::BIGINT AS terms, round(max(n) / sum(n), 9) AS l1, round(max(n) / sqrt(sum(n * n)), 9) AS l2 FROM h GROUP BY 1")
 def text_hashing_tf(spark, d):
-    words = table(spark, d, "documents").select("doc_id", F.explode(F.expr("regexp_extract_all(lower(text), '[a-z0-9_][a-z0-9_]+', 0)")).alias("w"))
-    b = F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 4), 16, 10).cast("int") % 1024
-    return words.select("doc_id", b.alias("b")).groupBy("doc_id", "b").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.count("*").alias("buckets"), F.sum("n").alias("terms"))
+    """Terms by document, and the largest value under either norm."""
+    docs = table(spark, d, "documents")
+    counts = tuning.hashed_terms(docs, "doc_id", "text", ngram=2, norm=None).groupBy("id").agg(F.count("*").alias("buckets"), F.sum("value").cast("long").alias("terms"))
+    for norm in ("l1", "l2"):
+        own = tuning.hashed_terms(docs, "doc_id", "text", ngram=2, norm=norm).groupBy("id").agg(F.round(F.max("value"), 9).alias(norm))
+        counts = counts.join(own, "id")
+    return counts.withColumnRenamed("id", "doc_id")
 
 
 @query()
@@ -377,6 +384,11 @@ def grid_search(spark, d):
     return tuning.search_grid(tuning.folds(_lines(spark, d), "doc_id"))
 
 
+@query()
+def grid_search_best(spark, d):
+    return tuning.best_of(grid_search(spark, d))
+
+
 # Rate limit -----------------------------------------------------------------------------
 @query("SELECT event_id, epoch_ms(date_trunc('hour', ts)) AS window_ms, permit FROM (SELECT *, row_number() OVER (PARTITION BY date_trunc('hour', ts) ORDER BY ts, event_id) AS permit FROM events) WHERE permit <= 5")
 def token_window(spark, d):

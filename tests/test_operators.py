@@ -83,25 +83,49 @@ def test_files(spark, tmp_path):
     assert files.object_sizes(spark, f"{tmp_path}/fixed").first()["length"] == 14
 
 
-def test_search(spark):
-    rows = spark.createDataFrame([(i, i % 2, ("good fine nice" if i % 2 else "bad poor sad") + f" word{i}") for i in range(60)], "i long, y int, x string")
-    out = tuning.search(tuning.folds(rows, "i"), features=256, max_iter=5).collect()
-    assert len(out) == 4 and max(r.accuracy for r in out) > 0.9
-
-
-def test_search_over_all_parameters(spark, monkeypatch):
-    rows = spark.createDataFrame([(i, i % 2, ("good fine nice" if i % 2 else "bad poor sad") + f" word{i}") for i in range(30)], "i long, y int, x string")
-    values = {"norm": ["l1", "l2"], "ngram": [1, 2], "alpha": [1e-2], "max_iter": [2], "penalty": ["l2", "elasticnet"]}
-    out = tuning.search_grid(tuning.folds(rows, "i"), values, features=256).collect()
-    assert sorted(tuple(r)[:5] for r in out) == sorted(tuple(r) for r in tuning.grid(spark, values).collect()) and max(r.accuracy for r in out) > 0.9
-    # HashingTF counts: unigrams only, or pairs in the same buckets; entries sum to 1 under l1.
-    one, two = (tuning._units(tuning.folds(rows, "i"), 1 << 18, n, "l1").first().unit for n in (1, 2))
-    assert (one.numNonzeros(), two.numNonzeros(), two.size) == (4, 7, 1 << 18) and two.norm(1) == pytest.approx(1)
-    # The registered query searches all of GRID with 2^18 buckets.
-    monkeypatch.setattr(tuning, "_units", lambda rows, features, ngram, norm: (features, ngram, norm))
-    monkeypatch.setattr(tuning, "_accuracies", lambda ready, alphas, nets, iters, _: [(a, n, m, 0.0) for a in alphas for n in nets for m in iters if ready[0] == 1 << 18])
-    found = queries.QUERIES["grid_search"](spark, "/root/testdata/sf0.001").drop("accuracy")
-    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, tuning.grid(spark).collect())) and found.count() == 192
+def _reviews(spark, n):
+    return spark.createDataFrame([(i, i % 2, ("good fine nice" if i % 2 else "bad poor sad") + f" word{i}") for i in range(n)], "doc_id long, y int, x string")
+
+
+def test_search_over_all_parameters(spark):
+    rows = tuning.folds(_reviews(spark, 60), "doc_id")
+    values = {"norm": ["l1", "l2"], "ngram": [1, 2], "alpha": [1e-2, 1e-4], "max_iter": [2, 10], "penalty": ["l2", "l1", "elasticnet"]}
+    for shard in (512, 20):
+        out = tuning.search_grid(rows, values, features=1 << 12, shard=shard).collect()
+        assert sorted(tuple(r)[:5] for r in out) == sorted(tuple(r) for r in tuning.grid(spark, values).collect())
+        assert max(r.accuracy for r in out) > 0.9
+    best = tuning.best_of(spark.createDataFrame(out)).first()
+    assert best.accuracy == max(r.accuracy for r in out)
+    assert tuning.search_grid(rows.where("false"), values).count() == 0
+
+
+def test_registered_search_is_the_whole_grid(spark):
+    found = queries.QUERIES["grid_search"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted(tuple(r)[:5] for r in found) == sorted(map(tuple, tuning.grid(spark).collect())) and len(found) == 192
+    assert max(r.accuracy for r in found) > 0.9
+
+
+def test_descent(spark):
+    import numpy as np
+
+    r = np.random.default_rng(0)
+    true = np.array([2.0, -1.0, 0.0, 0.0, 0.0])
+    x = r.normal(size=(300, 5))
+    y = np.sign(x @ true)
+    rows = [(np.arange(5), v) for v in x]
+    for net in (0.0, 0.15, 1.0):
+        (w, b), (w2, _) = tuning.hinge_path(rows, y, 5, 1e-2, net, [1, 30])
+        assert np.mean(np.sign(x @ w2 + b) == y) > 0.95
+    # A strong absolute penalty leaves only what matters.
+    ((w, _),) = tuning.hinge_path(rows, y, 5, 0.1, 1.0, [30])
+    assert np.all(np.abs(w[2:]) < 0.05) and abs(w[0]) > 0.3
+
+
+def test_terms(spark):
+    docs = spark.createDataFrame([(1, "Ab ab, cd! e"), (2, ""), (3, None)], "i long, x string")
+    one, two = (tuning.hashed_terms(docs, "i", "x", ngram=n, norm="l1").collect() for n in (1, 2))
+    assert sorted(r.value for r in one) == pytest.approx([1 / 3, 2 / 3]) and len(two) == 4
+    assert sum(r.value**2 for r in tuning.hashed_terms(docs, "i", "x").collect()) == pytest.approx(1)
 
 
 def test_permits_of_a_stream(spark, tmp_path):
