@@ -69,4 +69,34 @@ def test_hosts_rules_and_reputation(spark):
     assert {out[i].verdict for i in range(11, 41)} == {"block"}
     assert {out[i].verdict for i in range(41, 342)} == {"allow"}  # one bad page of a new host on a good domain is not enough
     assert urls.judge(pages.where("false"), urls.looks_good()).count() == 0
+    clash = pages.selectExpr("page_id", "url", "html", "'a' AS host", "'b' AS good", "'c' AS u", "'d' AS upper", "'e' AS h")
+    row = urls.judge(clash, urls.looks_good()).where("page_id = 0").first()
+    assert (row.host, row.good, row.u, row.upper, row.h) == ("a.b.example.com", "b", "c", "d", "e")
     assert not re.search("Python|Cartesian|NestedLoop", urls.judge(pages, urls.looks_good())._jdf.queryExecution().executedPlan().toString().replace("BroadcastNestedLoopJoin", "")), "native"
+
+
+def test_domains_of_ports_addresses_and_long_suffixes(spark):
+    hosts = ["a.b.co.uk", "b.co.uk:8080", "x.com", "me@www.x.com", "1.2.3.4", "9.2.3.4:80", "[::1]:80", "", "x.com.", "uk", "very." * 3000 + "de", "example.info"]
+    rows = spark.createDataFrame([(h, i % 2) for i, h in enumerate(hosts)], "host string, good int")
+    got = {r.host: (r.domain, r.suffix) for r in urls.reputation(rows).collect()}
+    want = [("b.co.uk", "co.uk"), ("b.co.uk", "co.uk"), ("x.com", "com"), ("x.com", "com"), ("1.2.3.4", ""), ("9.2.3.4", ""), ("[::1]", ""), ("", ""), ("x.com", "com"), ("uk", "uk"), ("very.de", "de"), ("example.info", "info")]
+    assert [got[h] for h in hosts] == want
+
+
+def test_the_bound_is_a_quantile(spark):
+    import math
+
+    rows = [(a, b) for a in (1.0, 1.5, 4.0, 40.0, 900.0) for b in (1.0, 2.5, 30.0, 700.0)]
+    out = spark.createDataFrame(rows, "a double, b double").withColumn("x", urls.beta_bound("a", "b")).collect()
+    for a, b, x in out:
+        step = 1 / 200_000
+        log = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
+        below = sum(math.exp(log + (a - 1) * math.log(p) + (b - 1) * math.log1p(-p)) for p in ((i + 0.5) * step for i in range(int(x / step)))) * step
+        assert abs(below - 0.95) < 0.015, (a, b, x, below)
+
+
+def test_bad_hosts_are_blocked(spark):
+    out = urls.op3_url_reputation(spark, "/root/testdata/sf0.1").where("rule IS NULL").collect()
+    bad = [r for r in out if re.search("casino|bets|pills|spam|adult|ads-", r.host)]
+    assert bad and all(r.verdict == "block" for r in bad)
+    assert sum(r.verdict == "block" for r in out) == len(bad)  # a few bad pages do not condemn a host
