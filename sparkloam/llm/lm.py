@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import groups
@@ -138,6 +138,18 @@ def _blend(levels: Iterator[np.ndarray], shape: tuple[int, int], free: int) -> n
     return np.log10(np.maximum(p, 1e-300))
 
 
+def _level(grams: list[tuple[np.ndarray, np.ndarray]], column: np.ndarray, width: int, k: int, ctx: np.ndarray) -> np.ndarray:
+    """Counts of the last k symbols of each context, by symbol. Codes are sorted."""
+    known, n = grams[k]
+    end = ctx & ((1 << BITS * k) - 1)
+    low = np.searchsorted(known, end << BITS)
+    size = np.searchsorted(known, (end + 1) << BITS) - low
+    at = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
+    m = np.zeros((len(ctx), width))
+    m[np.repeat(np.arange(len(ctx)), size), column[known[at] & ((1 << BITS) - 1)]] = n[at]
+    return m
+
+
 def code_costs(grams: list[tuple[np.ndarray, np.ndarray]], code: np.ndarray) -> np.ndarray:
     """log10 probability of each symbol in its context. grams as for Trie, with all counts of
     the contexts and of their ends."""
@@ -147,20 +159,10 @@ def code_costs(grams: list[tuple[np.ndarray, np.ndarray]], code: np.ndarray) ->
     by = np.argsort(of, kind="stable")
     bounds = np.searchsorted(of[by], np.arange(0, len(contexts) + 4096, 4096))
     cost = np.empty(len(code))
-
-    def level(k: int, ctx: np.ndarray) -> np.ndarray:
-        known, n = grams[k]
-        end = ctx & ((1 << BITS * k) - 1)
-        low = np.searchsorted(known, end << BITS)
-        size = np.searchsorted(known, (end + 1) << BITS) - low
-        at = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
-        m = np.zeros((len(ctx), width))
-        m[np.repeat(np.arange(len(ctx)), size), column[known[at] & ((1 << BITS) - 1)]] = n[at]
-        return m
-
     for a, x, y in zip(range(0, len(contexts), 4096), bounds, bounds[1:]):
         ctx, own = contexts[a : a + 4096], by[x:y]
-        m = _blend((level(k, ctx) for k in range(len(grams) - 1, -1, -1)), (len(ctx), width), 257 - len(seen))
+        levels = (_level(grams, column, width, k, ctx) for k in range(len(grams) - 1, -1, -1))
+        m = _blend(levels, (len(ctx), width), 257 - len(seen))
         cost[own] = m[of[own] - a, column[code[own] & ((1 << BITS) - 1)]]
     return cost
 
@@ -193,24 +195,12 @@ class Trie:
             kept.append(found)
         self.base = np.cumsum([0, *(len(x) for x in kept)])
         self.cost = np.empty((self.base[-1], width), dtype=np.float32)
-        counts = []
-        for k, found in enumerate(kept):
-            m = np.zeros((len(found), width), dtype=np.float32)
-            code, n = grams[k]
-            if len(code) and len(found):
-                at = np.minimum(np.searchsorted(found, code >> BITS), len(found) - 1)
-                ok = found[at] == code >> BITS
-                m[at[ok], self.column[code[ok] & ((1 << BITS) - 1)]] = n[ok]
-            counts.append(m)
-        suffix = [None] + [np.searchsorted(kept[k - 1], kept[k] & ((1 << BITS * (k - 1)) - 1)) for k in range(1, len(kept))]
         free = 257 - len(seen)  # symbols never met, alike in probability
         for k, found in enumerate(kept):
             for a in range(0, len(found), 4096):
-                ends = [at := np.arange(a, min(a + 4096, len(found)))]
-                for j in range(k, 0, -1):
-                    ends.append(suffix[j][ends[-1]])
-                levels = (counts[j][ctx] for j, ctx in zip(range(k, -1, -1), ends))
-                self.cost[self.base[k] + at] = _blend(levels, (len(at), width), free)
+                ctx = found[a : a + 4096]
+                levels = (_level(grams, self.column, width, j, ctx) for j in range(k, -1, -1))
+                self.cost[self.base[k] + a : self.base[k] + a + len(ctx)] = _blend(levels, (len(ctx), width), free)
 
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The scores of the texts, without those symbols whose longest context may have counts
@@ -248,6 +238,21 @@ def _numpy(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return code[by], n[by]
 
 
+def frequent(rows: DataFrame, count: str, most: int) -> tuple[Column, bool]:
+    """A condition that keeps the rows with the largest counts, `most` at most, by a bound on
+    the count, and whether it keeps all. Counts of one level, which are equal or, above 1,024,
+    alike within 3 %, stay or go together. So no task sorts or gathers the rows."""
+    n = F.col(count)
+    level = F.when(n < 1024, n).otherwise(1024 + F.floor(32 * F.log2(n / 1024))).cast("long")
+    sizes = sorted(((r["level"], r["rows"]) for r in rows.groupBy(level.alias("level")).agg(F.count("*").alias("rows")).collect()), reverse=True)
+    kept, least = 0, 1 << 62
+    for own, many in sizes:  # some 3,000 levels at most
+        if kept + many > most:
+            return level >= least, False
+        kept, least = kept + many, own
+    return level >= F.lit(0), True
+
+
 def fit(counts: DataFrame, order: int = ORDER, contexts: int = CONTEXTS) -> Trie:
     """counts as count() gives them. What comes to the driver is bounded by the contexts of up
     to LOW bytes and `contexts` ones of each longer order, with 257 symbols at most each."""
@@ -260,9 +265,11 @@ def fit(counts: DataFrame, order: int = ORDER, contexts: int = CONTEXTS) -> Trie
             grams.append(_numpy(code))  # as many as the alphabet allows
             continue
         shift = F.shiftright(F.col("code"), BITS)
-        top = code.groupBy(shift.alias("c")).agg(F.sum("n").alias("m")).orderBy(F.desc("m"), "c").limit(contexts).select("c")
-        grams.append(_numpy(code.join(F.broadcast(top), shift == F.col("c"), "left_semi")))  # at most `contexts` rows
-        whole &= len(np.unique(grams[-1][0] >> BITS)) < contexts
+        sums = code.groupBy(shift.alias("c")).agg(F.sum("n").alias("m"))
+        often, all_ = frequent(sums, "m", contexts)
+        top = sums.where(often).select("c")
+        grams.append(_numpy(code.join(F.broadcast(top), shift == F.col("c"), "left_semi")))  # at most `contexts` contexts
+        whole &= all_
     return Trie(grams[::-1], whole)
 
 
@@ -317,10 +324,11 @@ def score(docs: DataFrame, counts: DataFrame, trie: Trie, *, keep: list[str], wo
     spark = docs.sparkSession
     of_words = counts.where(F.col("code").isNull()).select("word", "n")
     total, distinct = of_words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = of_words.orderBy(F.desc("n"), "word").limit(words)
+    often, all_words = frequent(of_words, "n", words)
+    top = of_words.where(often)
     got = top.toArrow()
     common = spark.sparkContext.broadcast((dict(zip(got.column("word").to_pylist(), got.column("n").to_pylist())), trie))
-    rare = of_words.join(F.broadcast(top.select("word")), "word", "left_anti") if distinct > words else of_words.where("false")  # top: at most `words` rows
+    rare = of_words.join(F.broadcast(top.select("word")), "word", "left_anti") if not all_words else of_words.where("false")  # top: at most `words` rows
     names = ["row", "word", "tf", "n_tokens", "n_known", "part", "score", "codes"]
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,7 +365,7 @@ def score(docs: DataFrame, counts: DataFrame, trie: Trie, *, keep: list[str], wo
     parts = rows.mapInArrow(local, "row long, word binary, tf long, n_tokens long, n_known long, part double, score double, codes array<long>" + more)
     if not trie.whole:
         parts = stored(parts, "parts")  # read twice
-    joined = parts.join(rare, "word", "left") if distinct > words else parts.withColumn("n", F.lit(None).cast("long"))
+    joined = parts.join(rare, "word", "left") if not all_words else parts.withColumn("n", F.lit(None).cast("long"))
     if not trie.whole:
         joined = joined.drop("codes").unionByName(unheld(parts, counts, trie), allowMissingColumns=True)
     sums = joined.groupBy("row").agg(
