@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 #: Nodes a shard, links a node, candidates when inserting, beam when searching, queries a block.
-SHARD, LINKS, INSERT, BEAM, BLOCK = 4096, 16, 64, 64, 512
+SHARD, LINKS, INSERT, BEAM, BLOCK = 4096, 16, 64, 64, 2048
 _INDEX = "shard int, dim int, n int, vectors binary, ids binary, layers array<struct<nodes:binary,links:binary>>"
 
 
