@@ -12,6 +12,8 @@ Places of matches follow from the lengths of matches and of the text between the
 all stays in DataFrame expressions. Patterns are possessive and start only where a match
 can, which gives the same matches in linear time and without deep recursion.
 
+A labeler sees the CONTEXT characters before a candidate and two after it.
+
 Defined results: null counts as empty; places are code points, ends exclusive; repeated
 rows give repeated results; without candidates the labelers keep their first
 reliabilities; an empty table gives no rows.
@@ -35,12 +37,14 @@ _PATTERNS = {
     # Whole runs of 12 to 19 digits; shorter or longer runs fail anyway.
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){11,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "secret": r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,64}+[0-9])(?=[0-9_-]{0,64}+[A-Za-z])[A-Za-z0-9_-]{16,}+",
+    "secret": r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{16,}+",
 }
 #: Words that announce a secret.
 GAZETTEER = ("token", "key", "apikey", "api_key", "secret", "password", "passwd", "pwd", "auth", "bearer", "credential", "credentials")
 _BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _LABELERS = 4
+#: Characters before a candidate that labelers see.
+CONTEXT = 32
 #: First reliabilities of the labelers, first share of secrets among candidates.
 RELIABLE, SHARE = 0.8, 0.3
 
@@ -107,7 +111,7 @@ def learn(docs: DataFrame, *, text_column: str = "text", rounds: int = 50) -> np
     """Weights of the span classifier, from the candidates of all documents."""
     votes, features = _signs("m")
     names = [f"s{i}" for i in range(len(votes) + len(features))]
-    found = _rows(docs, text_column, ()).select(F.explode(F.expr(_matches("secret", 32))).alias("m"))
+    found = _rows(docs, text_column, ()).select(F.explode(F.expr(_matches("secret", CONTEXT))).alias("m"))
     # At most 3 ** 4 * 12 rows.
     rows = found.select(*(F.expr(x).alias(c) for x, c in zip(votes + features, names))).groupBy(*names).agg(F.count("*").alias("n")).collect()
     signs = np.array([[r[c] for c in names] for r in rows], dtype=int).reshape(-1, len(names))
@@ -149,7 +153,7 @@ def spans(docs: DataFrame, weights: np.ndarray, *, text_column: str = "text", ke
     out = _rows(docs, text_column, keep)
     kinds = "array<struct<s:int,k:int,e:int>>"
     base = [f"transform(filter({_matches(k)}, m -> {_valid(k)}), m -> named_struct('s', m.s, 'k', {i}, 'e', m.e))" for i, k in enumerate(KINDS[:4])]
-    more = f"filter({_matches('secret', 32)}, m -> {_score('m', weights)} >= 0)"
+    more = f"filter({_matches('secret', CONTEXT)}, m -> {_score('m', weights)} >= 0)"
     out = out.select(*keep, "t", F.expr(f"CAST(array_sort(concat({', '.join(base)})) AS {kinds})").alias("base"), F.expr(f"transform({more}, m -> named_struct('s', m.s, 'k', 4, 'e', m.e))").alias("more"))
     added = "filter(more, m -> NOT exists(base, b -> b.s < m.e AND m.s < b.e))"
     return out.select(*keep, "t", "base", F.expr(f"CAST(array_sort(concat(base, {added})) AS {kinds})").alias("found"))
@@ -172,4 +176,5 @@ def op7_weak_pii(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = spans(docs, learn(docs))
     many = (F.expr(f"size(filter(base, x -> x.k = {i}))").cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS[:4]))
-    return out.select("doc_id", *many, F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"), listed("found").alias("spans"))
+    all_ = F.size("found").cast("long").alias("n_spans")
+    return out.select("doc_id", *many, F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"), listed("found").alias("spans"), all_)
