@@ -27,14 +27,29 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from .bpe import groups
-from .common import row_key, stored, table
+from .common import discard, row_key, stored, table
 
-DICTIONARY, GRAM, STEP = 512, 32, 16
+DICTIONARY, GRAM, STEP, CHUNK = 512, 32, 16, 1 << 23
+#: Phrases known to every task at most, and how often such a one occurs at least.
+HOT, FEW = 50_000, 100
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0x8EBC6AF09C88C6E3, 0xE7037ED1A0B428DB, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165)]
 
 
+def bounded(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Runs of consecutive places whose sizes add up to `most`, or of one place."""
+    a, total = 0, 0
+    for i, n in enumerate(sizes):
+        if i > a and total + n > most:
+            yield a, i
+            a, total = i, 0
+        total += n
+    if a < len(sizes):
+        yield a, len(sizes)
+
+
 def rolling(raw: np.ndarray, size: int) -> np.ndarray:
     """A 64-bit hash of every `size` bytes, from those of the powers of two in it."""
     h = (raw.astype(np.uint64) + np.uint64(1)) * _M[0]
@@ -59,21 +74,31 @@ def rolling(raw: np.ndarray, size: int) -> np.ndarray:
     return (out ^ (out >> np.uint64(29)))[: max(0, len(raw) - size + 1)]
 
 
-def phrases(raw: bytes, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and last window start of every phrase, and its trigger's hash."""
-    gram = min(GRAM, size)
-    h = rolling(np.frombuffer(raw, dtype=np.uint8), gram)
+def phrases(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For every phrase of the texts, in order: which text it is of, its first and last window
+    start in it, and its trigger's hash."""
+    gram, ends = min(GRAM, size), np.cumsum([len(t) for t in texts])
+    raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    h = rolling(raw, gram)
     n, width = len(raw) - size + 1, size - gram + 1
-    key = (h & np.uint64(0xFFFFFFFF00000000)) | (np.uint64(0xFFFFFFFF) - (np.arange(len(h), dtype=np.uint64) & np.uint64(0xFFFFFFFF)))
+    if n <= 0:
+        return (np.empty(0, dtype=np.int64),) * 3 + (np.empty(0, dtype=np.int64),)
+    key = (h & np.uint64(0xFFFFFFFF00000000)) | (np.uint64(0xFFFFFFFF) - np.arange(len(h), dtype=np.uint64))
     step = 1
     while step * 2 <= width:
         key = np.minimum(key[:-step], key[step:])
         step *= 2
     if step < width:
         key = np.minimum(key[:n], key[width - step : width - step + n])
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    # A window that reaches into the next text is none.
+    of = np.searchsorted(ends, np.arange(n), side="right")
+    inside = np.arange(n) + size <= ends[of]
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | ~inside[:-1]])
+    first = np.flatnonzero(new & inside)
+    last = np.flatnonzero(inside & np.concatenate([new[1:] | ~inside[1:], [True]]))
     at = (np.uint64(0xFFFFFFFF) - (key[first] & np.uint64(0xFFFFFFFF))).astype(np.int64)
-    return first, np.concatenate([first[1:], [n]]) - 1, h[at].view(np.int64)
+    base = np.concatenate([[0], ends])[of[first]]
+    return of[first], first - base, last - base, h[at].view(np.int64)
 
 
 def repeated(found: list[tuple[bytes, bool]], size: int) -> list[list[int]]:
@@ -112,35 +137,68 @@ def dedup(docs: DataFrame, *, size: int = 400, dictionary: int = DICTIONARY, id_
     characters of which a part is gone."""
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
-    whole_rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"), F.struct(F.lit(0).alias("_"), *rest).alias("rest"))
+    whole_rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"), (F.struct(*rest) if rest else F.lit(None).cast("int")).alias("rest"))
     rows, whole_rows = (x.withColumn("rk", row_key("doc_id", "text")) for x in (rows, whole_rows))
     own = f"doc_id {kind}, rk long"
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, part in groups(batch.column("text")):
-                of, lo, hi, kh, ph = [], [], [], [], []
+            for at, part in groups(batch.column("text"), chars=1 << 20):
+                raw, of, base = [], [], []
                 for i, t in enumerate(part):
-                    raw = t.encode()
-                    if len(raw) < size:
-                        continue
-                    a, b, h = phrases(raw, size)
-                    of += [at + i] * len(a)
-                    lo.append(a)
-                    hi.append(b)
-                    kh.append(h)
-                    ph += [xxhash.xxh3_64_intdigest(raw[x : y + size]) for x, y in zip(a.tolist(), b.tolist())]
-                if of:
-                    rest = [pa.array(np.concatenate(x), pa.int64()) for x in (lo, hi, kh)]
-                    hashes = pa.array(np.array(ph, dtype=np.uint64).view(np.int64))
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(of)) for c in ("doc_id", "rk")), *rest, hashes], ["doc_id", "rk", "lo", "hi", "kh", "ph"])
+                    t = t.encode()
+                    for a in range(0, max(1, len(t) - size + 1), CHUNK):  # very long texts a piece at a time
+                        raw.append(t[a : a + CHUNK + size - 1])
+                        of.append(at + i)
+                        base.append(a)
+                of, base = np.array(of), np.array(base)
+                for a, b in bounded([len(t) for t in raw], 1 << 21):
+                    own = raw[a:b]
+                    k, lo, hi, kh = phrases(own, size)
+                    if len(k):
+                        ph = [xxhash.xxh3_64_intdigest(own[i][x : y + size]) for i, x, y in zip(k.tolist(), lo.tolist(), hi.tolist())]
+                        cols = [lo + base[a + k], hi + base[a + k], kh, np.array(ph, dtype=np.uint64).view(np.int64)]
+                        take = pa.array(of[a + k])
+                        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("doc_id", "rk")), *(pa.array(x, pa.int64()) for x in cols)], ["doc_id", "rk", "lo", "hi", "kh", "ph"])
 
     parsed = stored(rows.where(F.octet_length("text") >= size).mapInArrow(parse, own + ", lo long, hi long, kh long, ph long"), "parse")
     kinds = parsed.groupBy("kh", "ph").agg(F.count("*").alias("n"), F.min(F.struct("rk", "lo", "hi", "doc_id")).alias("r"))
     words = kinds.groupBy("kh").agg(F.sum("n").alias("total"), F.min("n").alias("least"), F.count("*").alias("kinds")).where(F.col("total") > 1)
     kinds = stored(kinds.join(words, "kh"), "kinds")
-    twice = kinds.where(F.col("n") > 1).select("kh", "ph")
-    whole = parsed.join(twice, ["kh", "ph"]).select("doc_id", "rk", F.col("lo").alias("s"), (F.col("hi") + size).alias("e"))
+    # Phrases that occur again are repeated as a whole. The most frequent ones, of which there
+    # are HOT at most, are known to every task and marked where they stand; the rest are joined.
+    total = kinds.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    often = max(FEW, total // HOT)
+    hot = kinds.where(F.col("n") > often).select("kh", "ph")
+    found = hot.toArrow()  # at most HOT rows, as the counts add up to the total
+    pairs = np.array(found.column("kh").to_numpy()), np.array(found.column("ph").to_numpy())
+    at = np.lexsort(pairs[::-1])
+    known = rows.sparkSession.sparkContext.broadcast(tuple(x[at] for x in pairs))
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The spans of frequent phrases; those that meet, in rows that stand together, as one."""
+        kh, ph = known.value
+        for batch in batches:
+            k, p = (batch.column(c).to_numpy() for c in ("kh", "ph"))
+            low, high = np.searchsorted(kh, k, "left"), np.searchsorted(kh, k, "right")
+            ok = np.zeros(len(k), dtype=bool)
+            for j in range(int((high - low).max(initial=0))):  # phrases under one trigger
+                i = low + j
+                ok |= (i < high) & (ph[np.minimum(i, len(ph) - 1)] == p)
+            ok = np.flatnonzero(ok)
+            if not len(ok):
+                continue
+            s, e, rk = batch.column("lo").to_numpy()[ok], batch.column("hi").to_numpy()[ok] + size, batch.column("rk").to_numpy()[ok]
+            new = np.concatenate([[True], (rk[1:] != rk[:-1]) | (s[1:] > e[:-1]) | (s[1:] < s[:-1])])
+            first = np.flatnonzero(new)
+            last = np.concatenate([first[1:], [len(ok)]]) - 1
+            own_ids = [batch.column(c).take(pa.array(ok[first])) for c in ("doc_id", "rk")]
+            yield pa.RecordBatch.from_arrays([*own_ids, pa.array(s[first]), pa.array(e[last])], ["doc_id", "rk", "s", "e"])
+
+    twice = kinds.where((F.col("n") > 1) & (F.col("n") <= often)).select("kh", "ph")
+    cold = parsed.join(F.broadcast(hot), ["kh", "ph"], "left_anti")  # at most HOT rows
+    whole = cold.join(twice, ["kh", "ph"], "left_semi").select("doc_id", "rk", F.col("lo").alias("s"), (F.col("hi") + size).alias("e"))
+    whole = whole.unionByName(parsed.mapInArrow(marked, own + ", s long, e long")) if len(found) else whole
     # Phrases that occur once but have others in their dictionary, and one of each of those.
     mixed = kinds.where((F.col("least") == 1) & (F.col("kinds") > 1)).select("r.doc_id", "r.rk", "r.lo", "r.hi", "kh", (F.col("n") > 1).alias("twice"), (F.col("kinds") > dictionary).alias("large"))
     wanted = mixed.groupBy("rk", F.struct("doc_id").alias("d")).agg(F.collect_list(F.struct("lo", "hi", "kh", "twice", "large")).alias("p"))
@@ -219,6 +277,7 @@ def dedup(docs: DataFrame, *, size: int = 400, dictionary: int = DICTIONARY, id_
     again = (F.count("*") > 1) | F.max("twice")
     cores = dealt.groupBy("kh", "b", "core").agg(again.alias("again")).where("again").select("kh", "b", "core")
     able = stored(dealt.join(cores, ["kh", "b", "core"]), "able")
+    discard(dealt)
     outers = able.where("outer IS NOT NULL").groupBy("kh", "b", "outer").agg(again.alias("again"), F.min(F.struct("rk", "s", "doc_id", "raw")).alias("r")).where("again")
     solved = able.where("NOT twice").join(outers.select("kh", "b", "outer"), ["kh", "b", "outer"]).select("doc_id", "rk", "s", (F.col("s") + F.octet_length("raw")).alias("e"))
     open_ = able.join(outers.select("kh", "b", "outer"), ["kh", "b", "outer"], "left_anti").select("doc_id", "rk", "kh", "twice", "s", "raw")
@@ -227,7 +286,8 @@ def dedup(docs: DataFrame, *, size: int = 400, dictionary: int = DICTIONARY, id_
     often = single.groupBy("kh", "wh").agg(again.alias("again")).where("again").select("kh", "wh")
     large = single.where(~F.col("twice")).join(often, ["kh", "wh"]).select("doc_id", "rk", "s", (F.col("s") + size).alias("e")).unionByName(solved)
     spans = whole.unionByName(small).unionByName(large)
-    spans = spans.groupBy("rk", F.struct("doc_id").alias("d")).agg(F.collect_set(F.struct("s", "e")).alias("found"))
+    spans = stored(spans.groupBy("rk", F.struct("doc_id").alias("d")).agg(F.collect_set(F.struct("s", "e")).alias("found")), "spans")
+    discard(parsed, kinds, texts, able, single)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
@@ -251,8 +311,10 @@ def dedup(docs: DataFrame, *, size: int = 400, dictionary: int = DICTIONARY, id_
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "rk", "rest")), pa.array(size_, pa.int64()), pa.array(out, pair), last], ["doc_id", "rk", "rest", "n_bytes", "spans", "kept"])
 
     found = whole_rows.join(spans, (whole_rows["rk"] == spans["rk"]) & whole_rows["doc_id"].eqNullSafe(F.col("d.doc_id")), "left").select("doc_id", whole_rows["rk"], "rest", "text", "found")
-    kinds = whole_rows.schema["rest"].dataType.simpleString()
-    return found.mapInArrow(keep, own + f", rest {kinds}, n_bytes long, spans array<struct<s:long,e:long>>, kept " + ("string" if as_text else "binary"))
+    span = StructType([StructField("s", LongType()), StructField("e", LongType())])
+    more = [("n_bytes", LongType()), ("spans", ArrayType(span)), ("kept", StringType() if as_text else BinaryType())]
+    head = [whole_rows.schema[c] for c in ("doc_id", "rk", "rest")]
+    return found.mapInArrow(keep, StructType(head + [StructField(*x) for x in more]))
 
 
 def op5_prefix_free(spark, sf_dir: str) -> DataFrame:
