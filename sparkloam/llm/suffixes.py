@@ -131,37 +131,38 @@ def _runs(starts: list[int], base: int, size: int) -> list[tuple[int, int]]:
     return out
 
 
-def dedup(docs: DataFrame, *, size: int = 400, dictionary: int = DICTIONARY, id_column: str = "doc_id", text_column: str = "text", rest: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
-    """(doc_id, rk, rest, n_bytes, spans, kept), one row per row: a struct of the columns
-    named in rest, the byte ranges that repeat, and the other bytes; as text, without
-    characters of which a part is gone."""
-    kind = docs.schema[id_column].dataType.simpleString()
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
-    whole_rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"), (F.struct(*rest) if rest else F.lit(None).cast("int")).alias("rest"))
-    rows, whole_rows = (x.withColumn("rk", row_key("doc_id", "text")) for x in (rows, whole_rows))
-    own = f"doc_id {kind}, rk long"
+def _rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(doc_id, raw, rk): the texts as bytes, with a key of the row."""
+    raw = F.coalesce(F.col(text_column).cast("string"), F.lit("")).cast("binary")
+    return docs.select(F.col(id_column).alias("doc_id"), raw.alias("raw")).withColumn("rk", row_key("doc_id", "raw"))
+
+
+def find(rows: DataFrame, size: int, dictionary: int = DICTIONARY) -> DataFrame:
+    """(rk, d, found), stored: the byte ranges that windows which repeat cover, some of which
+    overlap, of those rows that have any; d.doc_id is the id. rows: (doc_id, rk, raw)."""
+    own = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, rk long"
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, part in groups(batch.column("text"), chars=1 << 20):
+            for at, part in groups(batch.column("raw"), chars=1 << 20):
                 raw, of, base = [], [], []
                 for i, t in enumerate(part):
-                    t = t.encode()
                     for a in range(0, max(1, len(t) - size + 1), CHUNK):  # very long texts a piece at a time
                         raw.append(t[a : a + CHUNK + size - 1])
                         of.append(at + i)
                         base.append(a)
                 of, base = np.array(of), np.array(base)
                 for a, b in bounded([len(t) for t in raw], 1 << 21):
-                    own = raw[a:b]
-                    k, lo, hi, kh = phrases(own, size)
+                    some = raw[a:b]
+                    k, lo, hi, kh = phrases(some, size)
                     if len(k):
-                        ph = [xxhash.xxh3_64_intdigest(own[i][x : y + size]) for i, x, y in zip(k.tolist(), lo.tolist(), hi.tolist())]
+                        ph = [xxhash.xxh3_64_intdigest(some[i][x : y + size]) for i, x, y in zip(k.tolist(), lo.tolist(), hi.tolist())]
                         cols = [lo + base[a + k], hi + base[a + k], kh, np.array(ph, dtype=np.uint64).view(np.int64)]
                         take = pa.array(of[a + k])
-                        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("doc_id", "rk")), *(pa.array(x, pa.int64()) for x in cols)], ["doc_id", "rk", "lo", "hi", "kh", "ph"])
+                        heads = [batch.column(c).take(take) for c in ("doc_id", "rk")]
+                        yield pa.RecordBatch.from_arrays([*heads, *(pa.array(x, pa.int64()) for x in cols)], ["doc_id", "rk", "lo", "hi", "kh", "ph"])
 
-    parsed = stored(rows.where(F.octet_length("text") >= size).mapInArrow(parse, own + ", lo long, hi long, kh long, ph long"), "parse")
+    parsed = stored(rows.where(F.octet_length("raw") >= size).mapInArrow(parse, own + ", lo long, hi long, kh long, ph long"), "parse")
     kinds = parsed.groupBy("kh", "ph").agg(F.count("*").alias("n"), F.min(F.struct("rk", "lo", "hi", "doc_id")).alias("r"))
     words = kinds.groupBy("kh").agg(F.sum("n").alias("total"), F.min("n").alias("least"), F.count("*").alias("kinds")).where(F.col("total") > 1)
     kinds = stored(kinds.join(words, "kh"), "kinds")
@@ -209,8 +210,7 @@ def dedup(docs: DataFrame, *, size: int = 400, dictionary: int = DICTIONARY, id_
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 of, out, raw = [], {c: [] for c in names}, []
-                for i, (t, ps) in enumerate(zip(part.column("text").to_pylist(), part.column("p").to_pylist())):
-                    t = t.encode()
+                for i, (t, ps) in enumerate(zip(part.column("raw").to_pylist(), part.column("p").to_pylist())):
                     for p in ps:
                         of.append(i)
                         raw.append(t[p["lo"] : p["hi"] + size])
@@ -218,7 +218,7 @@ def dedup(docs: DataFrame, *, size: int = 400, dictionary: int = DICTIONARY, id_
                             out[c].append(p[c])
                 yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(of, pa.int64())) for c in ("doc_id", "rk")), *(pa.array(out[c], pa.int64() if c in ("lo", "kh") else pa.bool_()) for c in names), pa.array(raw, pa.binary())], ["doc_id", "rk", *names, "raw"])
 
-    unique_rows = rows.join(wanted, (rows["rk"] == wanted["rk"]) & rows["doc_id"].eqNullSafe(F.col("d.doc_id"))).select("doc_id", rows["rk"], "text", "p")
+    unique_rows = rows.join(wanted, (rows["rk"] == wanted["rk"]) & rows["doc_id"].eqNullSafe(F.col("d.doc_id"))).select("doc_id", rows["rk"], "raw", "p")
     texts = stored(unique_rows.mapInArrow(cut, own + ", lo long, kh long, twice boolean, large boolean, raw binary").dropDuplicates(["rk", "lo", "kh"]), "phrases")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,36 +288,107 @@ def dedup(docs: DataFrame, *, size: int = 400, dictionary: int = DICTIONARY, id_
     spans = whole.unionByName(small).unionByName(large)
     spans = stored(spans.groupBy("rk", F.struct("doc_id").alias("d")).agg(F.collect_set(F.struct("s", "e")).alias("found")), "spans")
     discard(parsed, kinds, texts, able, single)
+    return spans
+
+
+def merged(found: list[dict] | None) -> list[tuple[int, int]]:
+    """Ranges in order, those that meet as one."""
+    runs: list[list[int]] = []
+    for s, e in sorted((x["s"], x["e"]) for x in found or []):
+        if runs and s <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], e)
+        else:
+            runs.append([s, e])
+    return [(s, e) for s, e in runs]
+
+
+def _with_spans(rows: DataFrame, spans: DataFrame, how: str) -> DataFrame:
+    same = (rows["rk"] == spans["rk"]) & rows["doc_id"].eqNullSafe(F.col("d.doc_id"))
+    return rows.join(spans, same, how).select(*[rows[c] for c in rows.columns], "found")
+
+
+def segments(rows: DataFrame, coarse: DataFrame, size: int) -> DataFrame:
+    """(doc_id, rk, raw): the stretches of at least `size` bytes that the found ranges cover;
+    doc_id holds the row's id and key and where the stretch begins."""
+    kind = rows.schema["doc_id"].dataType
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                of, base, raw = [], [], []
+                for i, (t, found) in enumerate(zip(part.column("raw").to_pylist(), part.column("found").to_pylist())):
+                    for s, e in merged(found):
+                        if e - s >= size:
+                            of.append(i)
+                            base.append(s)
+                            raw.append(t[s:e])
+                heads = [part.column(c).take(pa.array(of, pa.int64())) for c in ("doc_id", "rk")]
+                yield pa.RecordBatch.from_arrays([*heads, pa.array(base, pa.int64()), pa.array(raw, pa.binary())], ["doc_id", "rk", "base", "raw"])
+
+    out = _with_spans(rows, coarse, "inner").mapInArrow(cut, f"doc_id {kind.simpleString()}, rk long, base long, raw binary")
+    return out.select(F.struct("doc_id", "rk", "base").alias("doc_id"), F.xxhash64("rk", "base").alias("rk"), "raw")
+
+
+def dedup(docs: DataFrame, *, size: int = 400, coarse: int | None = None, dictionary: int = DICTIONARY, id_column: str = "doc_id", text_column: str = "text", rest: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+    """(doc_id, rk, rest, n_bytes, n_coarse, spans, kept), one row per row: a struct of the
+    columns named in rest, the byte ranges that repeat, and the other bytes; as text, without
+    characters of which a part is gone.
+
+    coarse: a smaller size. Its ranges are found first, and those of `size` bytes only in
+    them, as every part of a string that repeats does. n_coarse is how many bytes they cover."""
+    rows = _rows(docs, id_column, text_column)
+    if coarse:
+        if not 0 < coarse <= size:
+            raise ValueError("coarse must be 1 to size")
+        first = find(rows, coarse, dictionary)
+        parts = stored(segments(rows, first, size), "segments")
+        at = F.col("d.doc_id.base")
+        moved = F.transform("found", lambda x: F.struct((x["s"] + at).alias("s"), (x["e"] + at).alias("e")))
+        fine = find(parts, size, dictionary).select(F.col("d.doc_id.rk").alias("fk"), F.struct("d.doc_id.doc_id").alias("fd"), moved.alias("part"))
+        fine = fine.groupBy("fk", "fd").agg(F.flatten(F.collect_list("part")).alias("fine"))
+        spans = first.join(fine, (F.col("rk") == F.col("fk")) & F.col("d").eqNullSafe(F.col("fd")), "left")
+        spans = stored(spans.select("rk", "d", F.struct("fine", F.col("found").alias("wide")).alias("found")), "spans")
+        discard(parts, first)
+    else:
+        spans = find(rows, size, dictionary)
+        spans = spans.select("rk", "d", F.struct(F.col("found").alias("fine"), F.col("found").alias("wide")).alias("found"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
+        names = ["doc_id", "rk", "rest", "n_bytes", "n_coarse", "spans", "kept"]
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                size_, out, kept = [], [], []
-                for t, found in zip(part.column("text").to_pylist(), part.column("found").to_pylist()):
-                    raw = t.encode()
-                    runs: list[list[int]] = []
-                    for x in sorted((x["s"], x["e"]) for x in found or []):
-                        if runs and x[0] <= runs[-1][1]:
-                            runs[-1][1] = max(runs[-1][1], x[1])
-                        else:
-                            runs.append([*x])
+                bytes_, wide, out, kept = [], [], [], []
+                for raw, found in zip(part.column("raw").to_pylist(), part.column("found").to_pylist()):
+                    runs = merged(found["fine"] if found else None)
                     edges = [0, *(v for r in runs for v in r), len(raw)]
-                    size_.append(len(raw))
-                    out.append([{"s": a, "e": b} for a, b in runs])
-                    kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])))
+                    bytes_.append(len(raw))
+                    wide.append(sum(e - s for s, e in merged(found["wide"] if found else None)))
+                    out.append([{"s": s, "e": e} for s, e in runs])
+                    kept.append(b"".join(raw[s:e] for s, e in zip(edges[::2], edges[1::2])))
                 last = pa.array([x.decode(errors="ignore") for x in kept]) if as_text else pa.array(kept, pa.binary())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "rk", "rest")), pa.array(size_, pa.int64()), pa.array(out, pair), last], ["doc_id", "rk", "rest", "n_bytes", "spans", "kept"])
+                heads = [part.column(c) for c in ("doc_id", "rk", "rest")]
+                yield pa.RecordBatch.from_arrays([*heads, pa.array(bytes_, pa.int64()), pa.array(wide, pa.int64()), pa.array(out, pair), last], names)
 
-    found = whole_rows.join(spans, (whole_rows["rk"] == spans["rk"]) & whole_rows["doc_id"].eqNullSafe(F.col("d.doc_id")), "left").select("doc_id", whole_rows["rk"], "rest", "text", "found")
+    more = (F.struct(*rest) if rest else F.lit(None).cast("int")).alias("rest")
+    raw = F.coalesce(F.col(text_column).cast("string"), F.lit("")).cast("binary")
+    whole = docs.select(F.col(id_column).alias("doc_id"), raw.alias("raw"), more).withColumn("rk", row_key("doc_id", "raw"))
     span = StructType([StructField("s", LongType()), StructField("e", LongType())])
-    more = [("n_bytes", LongType()), ("spans", ArrayType(span)), ("kept", StringType() if as_text else BinaryType())]
-    head = [whole_rows.schema[c] for c in ("doc_id", "rk", "rest")]
-    return found.mapInArrow(keep, StructType(head + [StructField(*x) for x in more]))
+    tail = [("n_bytes", LongType()), ("n_coarse", LongType()), ("spans", ArrayType(span)), ("kept", StringType() if as_text else BinaryType())]
+    heads = [whole.schema[c] for c in ("doc_id", "rk", "rest")]
+    return _with_spans(whole, spans, "left").mapInArrow(keep, StructType(heads + [StructField(*x) for x in tail]))
+
+
+#: Bytes of the shorter strings whose repeats are counted beside: fifty words of three letters.
+PASSAGE = 200
 
 
 def op5_prefix_free(spark, sf_dir: str) -> DataFrame:
-    out = dedup(table(spark, sf_dir, "documents"))
+    """n_passage_bytes: bytes of strings of PASSAGE bytes that start elsewhere, too, most of
+    them shorter than the 400 bytes from which on they are removed."""
+    out = dedup(table(spark, sf_dir, "documents"), coarse=PASSAGE)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"])
-    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    kept = F.sha2("kept", 256).alias("kept_sha256")
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), kept, F.col("n_coarse").alias("n_passage_bytes"))

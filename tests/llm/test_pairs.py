@@ -97,6 +97,28 @@ def test_removal_equals_brute_force(spark, size, dictionary, seed):
     assert sorted(((x.doc_id, x.n_bytes, [(s.s, s.e) for s in x.spans], bytes(x.kept)) for x in got), key=str) == sorted(((i, *w) for (i, _), w in zip(rows, want)), key=str)
 
 
+@pytest.mark.parametrize("size,coarse,hot,seed", [(40, 20, 1, 6), (64, 50, 3, 7), (100, 40, 50_000, 8)])
+def test_fine_ranges_lie_in_coarse_ones(spark, monkeypatch, size, coarse, hot, seed):
+    """Both sizes as by brute force, with frequent phrases marked and pieces of long texts."""
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    monkeypatch.setattr(suffixes, "FEW", 2)
+    monkeypatch.setattr(suffixes, "CHUNK", 150)
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdeé") for _ in range(r.randrange(1, 9)))
+    common = " ".join(word() for _ in range(size // 2))
+    texts = [None, "", "short", "a" * (3 * size), "é" * size, "xyz" * size + "q" + "xyz" * size]
+    for i in range(30):
+        own = [" ".join(word() for _ in range(r.randrange(1, 30))) for _ in range(3)]
+        texts.append(own[0] + common[: r.randrange(len(common))] + own[1] + common * (i % 3 > 0) + own[2])
+    texts += [texts[8], texts[9][3:]]
+    rows = list(enumerate(texts)) + [(9, texts[9]), (None, texts[10]), (None, texts[11])]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, rk int")
+    got = suffixes.dedup(docs, size=size, coarse=coarse).collect()
+    fine, wide = _removed([t for _, t in rows], size), _removed([t for _, t in rows], coarse)
+    want = [(i, n, spans, kept, sum(e - s for s, e in w)) for (i, _), (n, spans, kept), (_, w, _) in zip(rows, fine, wide)]
+    assert sorted(((x.doc_id, x.n_bytes, [(s.s, s.e) for s in x.spans], bytes(x.kept), x.n_coarse) for x in got), key=str) == sorted(want, key=str)
+
+
 def test_nothing_to_remove(spark):
     assert suffixes.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     x = suffixes.dedup(spark.createDataFrame([(1, "q" * 500)], "doc_id long, text string")).first()
