@@ -11,11 +11,6 @@ from sparkloam.llm import classifier, jaccard, packing, pii, suffixes
 from sparkloam.llm.common import WS, held_out, row_key, stored, table
 
 
-#: Bytes of a string that must not stand in two places: fifty words of three letters, with
-#: their blanks, so that a passage of more than fifty words is long enough.
-PASSAGE = 200
-
-
 def _with_text(changed: DataFrame, docs: DataFrame) -> DataFrame:
     """docs's rows in column row, with the text and n_chars as column text now has it."""
     new = {"text": F.col("text")}
@@ -54,12 +49,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes every byte out that a string of PASSAGE bytes covers which starts elsewhere, too.
+    """Takes every byte out that a string of 200 bytes covers which starts elsewhere, too.
 
-    Defined results: null texts become empty; shorter texts stay as they are; a character of
+    That is fifty words of three letters with their blanks, so that a passage of more words is
+    long enough. Defined results: null texts become empty; shorter texts stay as they are; a character of
     which a part goes, goes; repeated rows lose all windows they share.
     """
-    out = suffixes.dedup(docs, size=PASSAGE, rest=tuple(c for c in docs.columns if c != "text"), as_text=True)
+    out = suffixes.dedup(docs, size=suffixes.PASSAGE, rest=tuple(c for c in docs.columns if c != "text"), as_text=True)
     return _with_text(out.select(F.col("rest").alias("row"), F.col("kept").alias("text")), docs)
 
 
