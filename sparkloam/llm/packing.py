@@ -5,8 +5,8 @@ sequence has places. The driver therefore packs the histogram of lengths, whose
 does not depend on the corpus: dominating sets are fixed first, the rest is packed
 best fit in decreasing order, with equal bins handled together. The plan says, for a
 run of ranks within a length, which sequences and which place these pieces take. Ranks
-are given in parallel: pieces of a length are dealt to salts by a hash, counted, and
-numbered within their salt.
+are given in parallel: pieces of a length are dealt by a hash to as many salts as keep
+each at about SALTED pieces, counted, and numbered within their salt.
 
 Defined results: a null or empty text has one piece that holds only the end id; a
 longer document gives full pieces and a last, shorter one (none if nothing remains);
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .bpe import by_rank, forget, groups
 from .common import stored, table
 
-SALTS, KEPT = 256, 400_000
+SALTED, KEPT = 1 << 16, 400_000
 #: White space other than blank and newline, or letters whose lower case or composition
 #: may depend on their neighbours: such texts are encoded as they are.
 _FAR = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u0130\u0250-\U0010ffff]")
@@ -207,7 +207,10 @@ def pack(found: DataFrame, *, size: int = 2048, order: tuple[str, ...] = ("doc_i
             own = [c for c in batch.schema.names if c != "rank"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *(pa.array(v, pa.int64()) for v in more.values())], [*own, *more])
 
-    salted = found.withColumn("salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)).cast("int"))
+    salts = [(n, -(-c // SALTED)) for n, c in counts.items()]
+    salts = F.broadcast(found.sparkSession.createDataFrame(salts, "_length long, _salts long"))  # at most `size` rows
+    salted = found.join(salts, F.col("length") == F.col("_length"))
+    salted = salted.select(*found.columns, F.pmod(F.xxhash64(*order), "_salts").alias("salt"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     ranked = salted.withColumn("own", F.row_number().over(Window.partitionBy("length", "salt").orderBy(*order)) - 1)
