@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAF, SPREAD, GUARD, WINDOW, KEPT = 4096, 1 << 20, 2, 48, 300_000
+LEAF, SPREAD, GUARD, WINDOW, KEPT = 4096, 1 << 16, 2, 48, 300_000
 #: A run of white space and a word, cut before a stop that follows a letter or number.
 _RUNS = re.compile(r"[ \n]*+[^ \n.,]++(?<=[^\W_])(?=[.,])|[ \n]*+[^ \n]+|[ \n]+")
 #: All that counts as white space in Python or Unicode, besides blank and newline.
