@@ -29,7 +29,9 @@ def admitted_stream(events: DataFrame, every: str, capacity: int, *, ts: str = "
             used += len(got)
             yield got[["window_start", "event_id"]]
         state.update((used,))
-        state.setTimeoutTimestamp(int(key[0].timestamp() * 1000) + 7 * 24 * 3600 * 1000)
+        # No row of the window can come any more when the watermark has passed its end.
+        state.setTimeoutTimestamp(max(int(key[1].timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
 
-    keyed = events.withWatermark(ts, late).withColumn("window_start", F.window(ts, every)["start"])
-    return keyed.groupBy("window_start").applyInPandasWithState(take, "window_start timestamp, event_id long", "used long", "append", GroupStateTimeout.EventTimeTimeout)
+    w = F.window(ts, every)
+    keyed = events.withWatermark(ts, late).withColumn("window_start", w["start"]).withColumn("window_end", w["end"])
+    return keyed.groupBy("window_start", "window_end").applyInPandasWithState(take, "window_start timestamp, event_id long", "used long", "append", GroupStateTimeout.EventTimeTimeout)
