@@ -95,3 +95,31 @@ def test_cases_of_the_classifier(spark):
     none = classifier.fit(docs, labels.where("false"))
     assert {x.score for x in classifier.score(docs, none).collect()} == {0.5}
     assert classifier.score(docs.where("false"), none).count() == 0
+
+
+def test_the_vote_equals_brute_force():
+    """Cosines with every vector, the nearest VOTERS, weights to the power, then two lines."""
+    r = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(r.choice(words[30 * y : 30 * y + 40], size=r.integers(3, 60))) + "!" * (1 - y) for y in r.integers(0, 2, 90)]
+    y = np.array([t[-1] != "!" for t in texts], dtype=np.int64)
+    of = classifier.Features()
+    model = classifier.Model(of(texts[:70]), y[:70], 0.5)
+    got = model.score(of(texts[70:]))
+    z, ok = model.project(of(texts[70:]))
+    assert ok.all()
+    for v, s in zip(z, got):
+        near = sorted(((float(v @ x), int(label)) for x, label in zip(model.sample, model.label)), reverse=True)[: classifier.VOTERS]
+        weights = [max(0.0, c) ** classifier.POWER for c, _ in near]
+        share = sum(w * label for w, (_, label) in zip(weights, near)) / sum(weights)
+        want = share / model.cut * 0.3 if share < model.cut else 0.3 + (share - model.cut) / (1 - model.cut) * 0.7
+        assert abs(s - want) < 1e-4
+    assert classifier.best_cut(np.array([0.1, 0.2, 0.6, 0.9]), np.array([0.0, 0, 1, 1])) == pytest.approx(0.4)
+    assert classifier.best_cut(np.array([0.5, np.nan]), np.array([1.0, 0])) == classifier.CUT
+
+
+def test_repeated_ids_are_learned_from_once(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "other words")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 0), (4, 0)], "doc_id long, quality int")
+    model = classifier.fit(docs, labels)
+    assert sorted(model.label) == [0, 1] and model.prior == 0.25

@@ -43,3 +43,36 @@ def test_registered(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(names)
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0
+
+
+CLASH = ("_text", "score", "kept_rk", "kept_id", "_rk", "rk", "rest", "row", "t", "base", "found", "key", "spans", "s", "own")
+
+
+def test_clashing_columns_keep_their_values(spark, tmp_path):
+    text = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, text, "en", *range(len(CLASH))), (2, text, "en", *range(len(CLASH))), (3, "Call +1 (017) 555-7713 now, says the neighbour.", "en", *range(10, 10 + len(CLASH))), (None, None, None, *[None] * len(CLASH))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, " + ", ".join(f"`{c}` int" for c in CLASH))
+    spark.createDataFrame([(3, 1, 0), (9, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        want = {r.doc_id: tuple(r)[3:] for r in docs.collect()}
+        assert all(tuple(r)[3:] == want[r.doc_id] for r in out.collect())
+    assert corpus_pipeline.packed(spark, docs, str(tmp_path)).count() == 4
+
+
+def test_empty_table_and_a_very_long_text(spark):
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    for rows, n in ((docs.where("false"), 0), (docs.limit(1).withColumn("text", F.expr("concat_ws(' ', transform(sequence(1, 150000), i -> concat('w', i)))")), 1)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            rows_out = stage(spark, rows, d)
+            assert rows_out.columns == docs.columns and rows_out.count() in (0, n)
+        assert (corpus_pipeline.packed(spark, rows, d).count() > 0) == (n > 0)
+
+
+def test_unrelated_texts_that_share_an_id_or_have_none_stay(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcd"]
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[3])]
+    got = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, rows[:4]))

@@ -131,6 +131,31 @@ def test_plan_is_valid_and_near_the_least(seed):
     assert len(bins) <= _least(lengths, size) + 1
 
 
+def test_reduction_fixes_dominating_sets():
+    """What the reduction alone packs: full pairs, large pieces alone, and the largest partner."""
+    steps = packing.plan({9: 1, 6: 2, 4: 3, 1: 1}, 10)
+    bins = defaultdict(list)
+    for n, _, many, first, _ in steps:
+        for k in range(many):
+            bins[first + k].append(n)
+    assert sorted(map(sorted, bins.values())) == [[1, 9], [4], [4, 6], [4, 6]]
+    # The pair that fills a sequence is fixed, the rest stands alone.
+    assert 1 + max(first + many - 1 for _, _, many, first, _ in packing.plan({7: 1, 3: 1, 8: 1}, 10)) == 2
+    # Only one piece fits beside 6, and no two do: the largest partner is fixed.
+    bins = defaultdict(list)
+    for n, _, many, first, _ in packing.plan({6: 1, 3: 1, 2: 1, 5: 1}, 10):
+        for k in range(many):
+            bins[first + k].append(n)
+    assert [3, 6] in [sorted(b) for b in bins.values()]
+
+
+def test_many_pieces_of_one_length(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SALTED", 7)
+    docs = spark.createDataFrame([(i % 50, "one two three") for i in range(300)], "doc_id long, text string")
+    out = packing.pack(packing.pieces(docs, WORD)).collect()
+    assert len({(r.sequence_id, r.offset) for r in out}) == 300 and len({r.sequence_id for r in out}) == -(-sum(r.length for r in out) // 2048)
+
+
 def test_pack(spark):
     rows = [(i, t, "x") for i, t in enumerate(HARD)] + [(i % 5, "copy of it", "x") for i in range(40)] + [(None, "no id", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, length string")
