@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, cut_as_dealt, discard
 
 
 def distinct_edges(edges: DataFrame, nodes: int) -> DataFrame:
@@ -25,14 +25,9 @@ def node_ranges(edges: DataFrame, parts: int) -> DataFrame:
 def weighted(edges: DataFrame, nodes: int) -> DataFrame:
     """(src, dst, outdegree), joined once and kept as dealt by source, so that no iteration
     shuffles edges: ranks move to them, and sums back."""
-    conf, key = edges.sparkSession.conf, "spark.sql.adaptive.enabled"
-    parts, before = int(conf.get("spark.sql.shuffle.partitions")), conf.get(key)
-    out = cut(distinct_edges(edges, nodes).join(outdegree(edges), "src").select("src", "dst", "outdegree"))
-    conf.set(key, "false")  # a plan that may still change does not tell how it deals its rows
-    try:
-        return cut(out.repartition(parts, "src"))
-    finally:
-        conf.set(key, before)
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    joined = distinct_edges(edges, nodes).join(outdegree(edges), "src").select("src", "dst", "outdegree")
+    return cut_as_dealt(cut(joined).repartition(parts, "src"))
 
 
 def start(spark, nodes: int) -> DataFrame:
@@ -49,9 +44,11 @@ def pagerank(edges: DataFrame, nodes: int, *, iterations: int | None = None, thr
     """Ranks, and the L2 change of every iteration. With `iterations` so many; else until the
     change is below the threshold. Each iteration is written out, so lineage stays short."""
     spark = edges.sparkSession
-    sent, ranks, errors = weighted(edges, nodes), start(spark, nodes), []
+    sent, ranks, errors, last = weighted(edges, nodes), start(spark, nodes), [], None
     while (len(errors) < iterations) if iterations is not None else (len(errors) < most and (not errors or errors[-1] >= threshold)):
         new = cut(step(sent, ranks))
         errors.append(new.agg(F.sqrt(F.sum(F.pow(F.col("rank") - F.col("old"), 2)))).first()[0])
-        ranks = new.select("node", "rank")
+        if last is not None:
+            discard(last)
+        last, ranks = new, new.select("node", "rank")
     return ranks, errors

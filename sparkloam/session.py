@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +33,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df from files in the shared folder."""
+    """df written to the shared folder and read again, so that no lineage grows. discard()
+    deletes what was written."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def cut_as_dealt(df: DataFrame) -> DataFrame:
+    """df checkpointed to the shared folder: it stays dealt out as it is."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    conf, key = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(key)
+    conf.set(key, "false")  # a plan that may still change does not tell how it deals its rows
+    try:
+        return df.select("*").checkpoint()
+    finally:
+        conf.set(key, before)

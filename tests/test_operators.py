@@ -39,6 +39,14 @@ def test_sort_keeps_rows_and_order(spark, n):
     assert sum(x.unsorted for x in sorting.unsorted_pairs(out, "key", ("i",)).collect()) == 0
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 17])
+def test_bucket_counts_lesser_bounds(spark, n):
+    limits = sorted(random.Random(n).choices("abcdefgh", k=n))  # with repeats
+    keys = ["", "a", "b", "bb", "d", "h", "z"]
+    df = spark.createDataFrame([(k,) for k in keys], "key string").select("key", sorting.bucket("key", limits).alias("b"))
+    assert {r.key: r.b for r in df.collect()} == {k: sum(x < k for x in limits) for k in keys}
+
+
 def test_null_keys_are_left_out(spark):
     df = spark.createDataFrame([(1, "b"), (2, None), (3, "a")], "i long, key string")
     assert {x.i for x in sorting.with_buckets(df, "key", 2).collect()} == {1, 3}
