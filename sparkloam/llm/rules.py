@@ -4,7 +4,7 @@ Every statistic and rule is a Spark expression over the row's own text; nothing
 shuffled and no user function runs. Three-word windows are compared by sorting one
 array of longs a text: the upper bits are a hash of the window, the lower ones its
 place, so equal windows stand side by side; neighbours with equal hashes are then
-compared word by word.
+compared word by word, and where their words differ, with all windows of that hash.
 
 Defined results: a null text has no words; texts without words have zero statistics
 and fail the base rule; repeated rows give repeated results; an empty table gives none.
@@ -28,6 +28,10 @@ STOP_WORDS = (
 ).split()
 
 
+#: The hash of the three-word window that starts at word i.
+HASH = "xxhash64(w[i], w[i + 1], w[i + 2])"
+
+
 @dataclass(frozen=True)
 class Rule:
     """A document passes if low <= expression <= high; None leaves a side open."""
@@ -51,11 +55,15 @@ def statistics(docs: DataFrame, *, text_column: str = "text", keep: tuple[str, .
     """n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_stop_words and
     n_repeat_words beside the columns to keep."""
     stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
-    same = "(((x ^ {y}) & ~m) = 0 AND w[int(x & m)] = w[int({y} & m)] AND w[int(x & m) + 1] = w[int({y} & m) + 1] AND w[int(x & m) + 2] = w[int({y} & m) + 2])"
+    alike = "((x ^ {y}) & ~m) = 0"
+    words = " AND ".join(f"w[int(x & m) + {j}] = w[int({{y}} & m) + {j}]" for j in range(3))
+    before, after = "k > 0 AND " + alike.format(y="s[k - 1]"), "k < size(s) - 1 AND " + alike.format(y="s[k + 1]")
+    met = f"({before} AND {words.format(y='s[k - 1]')}) OR ({after} AND {words.format(y='s[k + 1]')})"
+    other = f"(({before}) OR ({after})) AND exists(s, y -> y <> x AND {alike.format(y='y')} AND {words.format(y='y')})"
     repeats = f"""
         CASE WHEN size(w) < 3 THEN 0L ELSE aggregate(
-          element_at(transform(array(sort_array(transform(sequence(0, size(w) - 3), i -> (xxhash64(w[i], w[i + 1], w[i + 2]) & ~m) | bigint(i)))),
-            s -> sort_array(transform(filter(s, (x, k) -> (k > 0 AND {same.format(y="s[k - 1]")}) OR (k < size(s) - 1 AND {same.format(y="s[k + 1]")})), x -> x & m))), 1),
+          element_at(transform(array(sort_array(transform(sequence(0, size(w) - 3), i -> ({HASH} & ~m) | bigint(i)))),
+            s -> sort_array(transform(filter(s, (x, k) -> {met} OR ({other})), x -> x & m))), 1),
           named_struct('last', -3L, 'n', 0L),
           (a, p) -> named_struct('last', p, 'n', a.n + least(3L, p - a.last)),
           a -> a.n) END"""

@@ -33,6 +33,15 @@ def test_statistics_equal_brute_force(spark):
         assert not (r.base_failed and r.kept)
 
 
+def test_windows_that_share_a_hash(spark, monkeypatch):
+    """All windows of a text, or those that start with the same word, have one hash."""
+    for value in ("0L", "xxhash64(w[i])"):
+        monkeypatch.setattr(rules, "HASH", value)
+        rows = [(i, t) for i, t in enumerate(TEXTS) if len(t or "") < 2000]
+        for r in rules.statistics(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+            assert r.n_repeat_words == _brute(TEXTS[r.doc_id])[4], TEXTS[r.doc_id]
+
+
 def test_rules_need_no_python_and_no_shuffle(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     plan = rules.judge(rules.statistics(docs))._jdf.queryExecution().executedPlan().toString()
