@@ -35,7 +35,14 @@ from .common import discard, row_key, stored, table
 DICTIONARY, GRAM, STEP, CHUNK = 512, 32, 16, 1 << 23
 #: Phrases known to every task at most, and how often such a one occurs at least.
 HOT, FEW = 50_000, 100
-_M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0x8EBC6AF09C88C6E3, 0xE7037ED1A0B428DB, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165)]
+#: Odd multipliers.
+_M = [
+    np.uint64(x)
+    for x in (
+        0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0x8EBC6AF09C88C6E3,
+        0xE7037ED1A0B428DB, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165,
+    )
+]
 
 
 def bounded(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
@@ -201,7 +208,9 @@ def find(rows: DataFrame, size: int, dictionary: int = DICTIONARY) -> DataFrame:
     whole = cold.join(twice, ["kh", "ph"], "left_semi").select("doc_id", "rk", F.col("lo").alias("s"), (F.col("hi") + size).alias("e"))
     whole = whole.unionByName(parsed.mapInArrow(marked, own + ", s long, e long")) if len(found) else whole
     # Phrases that occur once but have others in their dictionary, and one of each of those.
-    mixed = kinds.where((F.col("least") == 1) & (F.col("kinds") > 1)).select("r.doc_id", "r.rk", "r.lo", "r.hi", "kh", (F.col("n") > 1).alias("twice"), (F.col("kinds") > dictionary).alias("large"))
+    mixed = kinds.where((F.col("least") == 1) & (F.col("kinds") > 1))
+    flags = (F.col("n") > 1).alias("twice"), (F.col("kinds") > dictionary).alias("large")
+    mixed = mixed.select("r.doc_id", "r.rk", "r.lo", "r.hi", "kh", *flags)
     wanted = mixed.groupBy("rk", F.struct("doc_id").alias("d")).agg(F.collect_list(F.struct("lo", "hi", "kh", "twice", "large")).alias("p"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +225,9 @@ def find(rows: DataFrame, size: int, dictionary: int = DICTIONARY) -> DataFrame:
                         raw.append(t[p["lo"] : p["hi"] + size])
                         for c in names:
                             out[c].append(p[c])
-                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(of, pa.int64())) for c in ("doc_id", "rk")), *(pa.array(out[c], pa.int64() if c in ("lo", "kh") else pa.bool_()) for c in names), pa.array(raw, pa.binary())], ["doc_id", "rk", *names, "raw"])
+                heads = [part.column(c).take(pa.array(of, pa.int64())) for c in ("doc_id", "rk")]
+                cols = [pa.array(out[c], pa.int64() if c in ("lo", "kh") else pa.bool_()) for c in names]
+                yield pa.RecordBatch.from_arrays([*heads, *cols, pa.array(raw, pa.binary())], ["doc_id", "rk", *names, "raw"])
 
     unique_rows = rows.join(wanted, (rows["rk"] == wanted["rk"]) & rows["doc_id"].eqNullSafe(F.col("d.doc_id"))).select("doc_id", rows["rk"], "raw", "p")
     texts = stored(unique_rows.mapInArrow(cut, own + ", lo long, kh long, twice boolean, large boolean, raw binary").dropDuplicates(["rk", "lo", "kh"]), "phrases")
@@ -228,7 +239,8 @@ def find(rows: DataFrame, size: int, dictionary: int = DICTIONARY) -> DataFrame:
             got = repeated([(r["raw"], r["twice"]) for r in held], size)
             spans = [(r["doc_id"], r["rk"], s, e) for r, starts in zip(held, got) if not r["twice"] for s, e in _runs(starts, r["lo"], size)]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in spans], doc_type), *(pa.array([x[k] for x in spans], pa.int64()) for k in (1, 2, 3))], ["doc_id", "rk", "s", "e"])
+            cols = [pa.array([x[k] for x in spans], pa.int64() if k else doc_type) for k in range(4)]
+            return pa.RecordBatch.from_arrays(cols, ["doc_id", "rk", "s", "e"])
 
         doc_type = None
         for batch in batches:
@@ -261,7 +273,9 @@ def find(rows: DataFrame, size: int, dictionary: int = DICTIONARY) -> DataFrame:
                     out["outer"].append(xxhash.xxh3_64_intdigest(raw[low : high + size]) >> 1 if inside else None)
                     out["raw"].append(raw[first : min(high, last) + size])
             kinds = [pa.int64()] * 4 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(of, pa.int64())) for c in ("doc_id", "rk", "kh", "twice")), *(pa.array(x, t) for x, t in zip(out.values(), kinds))], ["doc_id", "rk", "kh", "twice", *out])
+            heads = [batch.column(c).take(pa.array(of, pa.int64())) for c in ("doc_id", "rk", "kh", "twice")]
+            cols = [pa.array(x, t) for x, t in zip(out.values(), kinds)]
+            yield pa.RecordBatch.from_arrays([*heads, *cols], ["doc_id", "rk", "kh", "twice", *out])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,7 +283,9 @@ def find(rows: DataFrame, size: int, dictionary: int = DICTIONARY) -> DataFrame:
             many = [len(h) for h in hashes]
             of = pa.array(np.repeat(np.arange(len(hashes)), many))
             start = np.concatenate([np.arange(n) for n in many]) + np.repeat(batch.column("s").to_numpy(), many)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in ("doc_id", "rk", "kh", "twice")), pa.array(start, pa.int64()), pa.array(np.concatenate(hashes))], ["doc_id", "rk", "kh", "twice", "s", "wh"])
+            heads = [batch.column(c).take(of) for c in ("doc_id", "rk", "kh", "twice")]
+            cols = [pa.array(start, pa.int64()), pa.array(np.concatenate(hashes))]
+            yield pa.RecordBatch.from_arrays([*heads, *cols], ["doc_id", "rk", "kh", "twice", "s", "wh"])
 
     # Blocks of windows, by their place before the trigger. What all windows of a block have
     # in common must occur twice for any of them to; if all that they cover does, all do.
@@ -330,7 +346,17 @@ def segments(rows: DataFrame, coarse: DataFrame, size: int) -> DataFrame:
     return out.select(F.struct("doc_id", "rk", "base").alias("doc_id"), F.xxhash64("rk", "base").alias("rk"), "raw")
 
 
-def dedup(docs: DataFrame, *, size: int = 400, coarse: int | None = None, dictionary: int = DICTIONARY, id_column: str = "doc_id", text_column: str = "text", rest: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+def dedup(
+    docs: DataFrame,
+    *,
+    size: int = 400,
+    coarse: int | None = None,
+    dictionary: int = DICTIONARY,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    rest: tuple[str, ...] = (),
+    as_text: bool = False,
+) -> DataFrame:
     """(doc_id, rk, rest, n_bytes, n_coarse, spans, kept), one row per row: a struct of the
     columns named in rest, the byte ranges that repeat, and the other bytes; as text, without
     characters of which a part is gone.

@@ -137,7 +137,13 @@ def op3_url_reputation(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    strength = lambda a: f"CASE WHEN {a}.n > 0 AND {a}.g / {a}.n * (1 - {a}.g / {a}.n) > 0 AND {a}.q / {a}.n - ({a}.g / {a}.n) ** 2 - {a}.g / {a}.n * (1 - {a}.g / {a}.n) * {a}.k / {a}.n > 0 THEN least({STRENGTH[1]}, greatest({STRENGTH[0]}, {a}.g / {a}.n * (1 - {a}.g / {a}.n) / ({a}.q / {a}.n - ({a}.g / {a}.n) ** 2 - {a}.g / {a}.n * (1 - {a}.g / {a}.n) * {a}.k / {a}.n) - 1)) ELSE {STRENGTH[2]} END"
+    def strength(a: str) -> str:
+        p = f"{a}.g / {a}.n"
+        noise = f"{p} * (1 - {p})"
+        more = f"({a}.q / {a}.n - ({p}) ** 2 - {noise} * {a}.k / {a}.n)"
+        found = f"least({STRENGTH[1]}, greatest({STRENGTH[0]}, {noise} / {more} - 1))"
+        return f"CASE WHEN {a}.n > 0 AND {noise} > 0 AND {more} > 0 THEN {found} ELSE {STRENGTH[2]} END"
+
     total = "sum(n) AS n, sum(g) AS g, sum((n > 0)::INT) AS k, coalesce(sum(CASE WHEN n > 0 THEN g * g / n END), 0) AS q FROM h"
     fits = lambda text: f"(host = '{text.partition('/')[0]}' OR ends_with(host, '.{text.partition('/')[0]}')) AND starts_with(path, '/{text.partition('/')[2]}')"
     best = sorted(RULES, key=lambda r: -len(r[1]))
