@@ -36,6 +36,20 @@ def test_recall_on_the_table(spark):
     assert len(got) == sum(i % 50 == 0 for i in vecs) and hit >= 0.9 * 5 * len(got)
 
 
+def test_the_query_over_many_shards_and_blocks(spark, monkeypatch):
+    """The registered query with shards of some 40 vectors, against all pairs."""
+    d = "/root/testdata/sf0.01"
+    monkeypatch.setitem(ann.build.__kwdefaults__, "shard", 40)
+    monkeypatch.setitem(ann.search.__kwdefaults__, "block", 3)
+    vecs = {r.vec_id: r.embedding for r in spark.read.parquet(f"{d}/embeddings.parquet").collect()}
+    got = defaultdict(list)
+    for r in ann.op8_hnsw(spark, d).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert sorted(got) == sorted(i for i in vecs if i % 50 == 0)
+    hit = sum(len({*found} & {i for _, i in _exact(vecs, q)}) for q, found in got.items())
+    assert hit >= 0.9 * 5 * len(got)
+
+
 def test_recall_in_one_large_shard():
     r = np.random.default_rng(1)
     x = ann._unit(r.normal(size=(3000, 32)))
