@@ -298,7 +298,10 @@ def find(rows: DataFrame, size: int, dictionary: int = DICTIONARY) -> DataFrame:
     solved = able.where("NOT twice").join(outers.select("kh", "b", "outer"), ["kh", "b", "outer"]).select("doc_id", "rk", "s", (F.col("s") + F.octet_length("raw")).alias("e"))
     open_ = able.join(outers.select("kh", "b", "outer"), ["kh", "b", "outer"], "left_anti").select("doc_id", "rk", "kh", "twice", "s", "raw")
     shown = outers.select("r.doc_id", "r.rk", "kh", F.lit(True).alias("twice"), "r.s", "r.raw")
-    single = stored(open_.unionByName(shown).mapInArrow(windows, own + ", kh long, twice boolean, s long, wh long"), "windows")
+    # A common passage has its blocks in a few tasks; before they grow to windows they are dealt evenly.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    even = open_.unionByName(shown).repartition(tasks)
+    single = stored(even.mapInArrow(windows, own + ", kh long, twice boolean, s long, wh long"), "windows")
     often = single.groupBy("kh", "wh").agg(again.alias("again")).where("again").select("kh", "wh")
     large = single.where(~F.col("twice")).join(often, ["kh", "wh"]).select("doc_id", "rk", "s", (F.col("s") + size).alias("e")).unionByName(solved)
     spans = whole.unionByName(small).unionByName(large)
