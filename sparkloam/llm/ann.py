@@ -232,7 +232,9 @@ def search(index: DataFrame, queries: DataFrame, *, id_column: str = "vec_id", v
                 ok = np.isfinite(score)
                 yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(own[:, None], ok.shape)[ok]), pa.array(cand[ok]), pa.array(score[ok])], ["query_id", "vec_id", "score"])
 
-    found = asked.join(index.drop("n"), ["shard", "dim"]).mapInArrow(walk, "query_id long, vec_id long, score double")
+    # Before they are dealt to the shards the queries look small enough for a broadcast, which
+    # would gather their copies for all shards in the driver.
+    found = asked.hint("merge").join(index.drop("n").hint("merge"), ["shard", "dim"]).mapInArrow(walk, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -50,6 +50,15 @@ def test_the_query_over_many_shards_and_blocks(spark, monkeypatch):
     assert hit >= 0.9 * 5 * len(got)
 
 
+def test_queries_are_dealt_and_not_gathered(spark):
+    """Their copies for all shards are too much for a broadcast, however small one of them is."""
+    rows = spark.range(600).selectExpr("id AS vec_id", "transform(sequence(1, 8), i -> cast(sin(id * i + i) AS float)) AS embedding")
+    found = ann.search(ann.build(rows, shard=40), rows.where("vec_id % 5 = 0"))
+    assert len(found.collect()) == 600
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "BroadcastExchange" not in plan.split("== Initial Plan ==")[0]
+
+
 def test_recall_in_one_large_shard():
     r = np.random.default_rng(1)
     x = ann._unit(r.normal(size=(3000, 32)))
