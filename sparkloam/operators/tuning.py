@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+import pkgutil
+import tempfile
+import uuid
+import zipfile
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +58,8 @@ def grid(spark, values: dict[str, list] = GRID) -> DataFrame:
 NETS = {"l2": 0.0, "l1": 1.0, "elasticnet": 0.15}
 #: Labelled rows that one task searches over, on average.
 SHARD = 512
+#: Words of two or more letters, digits or underscores of a lower-cased column.
+WORDS = "regexp_extract_all(lower(`{}`), '[a-z0-9_][a-z0-9_]+', 0)"
 
 
 def hashed_terms(rows: DataFrame, id_column: str, text_column: str, *, features: int = 1 << 18, ngram: int = 1, norm: str | None = "l2") -> DataFrame:
@@ -58,7 +68,7 @@ def hashed_terms(rows: DataFrame, id_column: str, text_column: str, *, features:
     in. Values have length 1 by the norm; without one they are counts."""
     if not 1 <= ngram <= 2 or features > 1 << 20:
         raise ValueError("ngram is 1 or 2, features are at most 2**20")
-    words = F.expr(f"regexp_extract_all(lower(`{text_column}`), '[a-z0-9_][a-z0-9_]+', 0)")
+    words = F.expr(WORDS.format(text_column))
     pairs = F.expr("transform(sequence(1, size(w) - 1), i -> concat(w[i - 1], ' ', w[i]))")
     terms = F.col("w") if ngram == 1 else F.concat("w", F.when(F.size("w") > 1, pairs).otherwise(F.array().cast("array<string>")))
     out = rows.select(F.col(id_column).alias("id"), words.alias("w")).select("id", F.explode(terms).alias("t"))
@@ -76,7 +86,8 @@ def hinge_path(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, features:
 
     The step falls as 1 / (alpha * t). The squared part of the penalty shrinks all weights
     by a common factor; the absolute part is added up and taken from a weight when its
-    feature is met. Descent ends when the loss has not fallen for five epochs."""
+    feature is met. Descent ends when the loss has not fallen for five epochs. Descent.java
+    does the same; this is what it is held against."""
     v, scale, intercept = np.zeros(features), 1.0, 0.0
     due, paid = 0.0, np.zeros(features)
     t, order, r = alpha**-0.75, np.arange(len(y)), np.random.default_rng(seed)  # the first step is alpha ** -0.25
@@ -110,50 +121,118 @@ def hinge_path(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, features:
     return out
 
 
+def hashed_rows(words: pa.Array, features: int, ngram: int, norm: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bucket, value) of hashed_terms() from the words of each row."""
+    ends = np.concatenate([[0], np.cumsum(words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    coded = words.flatten().dictionary_encode()
+    code, names = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+    row = np.repeat(np.arange(len(words)), np.diff(ends))
+    place = lambda terms: np.array([int.from_bytes(hashlib.md5(t.encode()).digest()[:3], "big") >> 4 for t in terms], dtype=np.int64) % features
+    rows, buckets = row, place(names)[code]
+    if ngram == 2 and len(code):
+        two = np.flatnonzero(row[1:] == row[:-1])
+        pairs, which = np.unique(code[two] * len(names) + code[two + 1], return_inverse=True)
+        pairs = place(f"{names[p // len(names)]} {names[p % len(names)]}" for p in pairs.tolist())
+        rows, buckets = np.concatenate([row, row[two]]), np.concatenate([buckets, pairs[which]])
+    key, n = np.unique(rows * features + buckets, return_counts=True)
+    row, bucket = key // features, key % features
+    size = np.bincount(row, n, len(words)) if norm == "l1" else np.sqrt(np.bincount(row, n * n, len(words)))
+    return row, bucket, n / size[row]
+
+
+def merged(row: np.ndarray, bucket: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, index, value, copies): buckets that occur in the same rows with the same values get
+    the same weights, whatever they are trained on, and so become one feature with its copies."""
+    order = np.lexsort((row, bucket))
+    row, bucket, value = row[order], bucket[order], value[order]
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, dtype=int)
+    known, keep, copies = {}, np.zeros(len(starts), dtype=bool), []
+    for i, (a, b) in enumerate(zip(starts.tolist(), [*starts[1:].tolist(), len(bucket)])):
+        place = known.setdefault((row[a:b].tobytes(), value[a:b].tobytes()), len(copies))
+        if place == len(copies):
+            copies.append(0)
+            keep[i] = True
+        copies[place] += 1
+    each = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(bucket))))
+    index = (np.cumsum(keep) - 1)[each]
+    taken = keep[each]
+    return row[taken], index[taken], value[taken], np.array(copies, dtype=float)
+
+
+def pack(words: pa.Array, y: np.ndarray, fold: np.ndarray, alpha: list[float], net: list[float], stops: list[int], *, features: int, ngram: int, norm: str, k: int = 5) -> bytes:
+    """The argument of Descent.java: rows, folds, features, combinations, numbers of epochs and
+    visits; then where each row ends, indices, folds, epochs, and the rows that each fold's
+    training meets, epoch by epoch; then values, copies, labels and the combinations."""
+    row, index, value, copies = merged(*hashed_rows(words, features, ngram, norm))
+    by = np.argsort(row, kind="stable")
+    row, index, value = row[by], index[by], value[by]
+    visits = []
+    for held in range(k):
+        train = np.flatnonzero(fold != held)
+        order, r = np.arange(len(train)), np.random.default_rng(0)
+        if 0 < len(train) < len(y):
+            for _ in range(max(stops)):
+                r.shuffle(order)
+                visits.append(train[order])
+    visits = np.concatenate([*visits, np.zeros(0, dtype=int)])
+    sizes = [len(y), k, len(copies), len(alpha), len(stops), len(visits)]
+    whole = [sizes, np.searchsorted(row, np.arange(len(y) + 1)), index, fold, stops, visits]
+    return b"".join([np.asarray(a).astype("<i4").tobytes() for a in whole] + [np.asarray(a).astype("<f8").tobytes() for a in (value, copies, y, alpha, net)])
+
+
+def descents(spark) -> str:
+    """Name of the function of Descent.java in this session. Spark's own compiler makes its
+    class, which executors get as a jar from the driver."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    name = "sparkloam_descents"
+    if spark.catalog.functionExists(name):
+        return name
+    compiler = jvm.org.codehaus.janino.SimpleCompiler()
+    compiler.setParentClassLoader(jvm.org.apache.spark.util.Utils.getContextOrSparkClassLoader())
+    compiler.cook(pkgutil.get_data(__package__, "Descent.java").decode())
+    code = compiler.getBytecodes()
+    jar = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="sparkloam-")), f"descent-{uuid.uuid4().hex}.jar")
+    with zipfile.ZipFile(jar, "w") as out:
+        for made in code:
+            out.writestr(made.replace(".", "/") + ".class", bytes(code[made]))
+    spark.sparkContext._jsc.addJar(jar)
+    urls = gateway.new_array(jvm.java.net.URL, 1)
+    urls[0] = jvm.java.io.File(jar).toURI().toURL()
+    loader = jvm.java.net.URLClassLoader(urls, jvm.org.apache.spark.util.Utils.getContextOrSparkClassLoader())
+    made = loader.loadClass("sparkloam.Descent").newInstance()
+    spark._jsparkSession.udf().register(name, made, spark._jsparkSession.parseDataType('{"type":"array","elementType":"long","containsNull":false}'))
+    return name
+
+
 def search_grid(rows: DataFrame, values: dict[str, list] = GRID, *, id_column: str = "doc_id", features: int = 1 << 18, shard: int = SHARD) -> DataFrame:
     """(norm, ngram, alpha, max_iter, penalty, accuracy): mean accuracy over the five folds for
     every combination of the values. rows: id, x, y (0 or 1), fold.
 
     Rows are dealt to shards of some `shard` rows, and each searches the whole grid over its
     own; a combination's accuracy is that of all held-out rows of all shards. Numbers of
-    epochs share one descent. A task holds one shard's terms under one norm and n-gram."""
-    import pyarrow as pa
-
+    epochs share one descent. A task holds one shard's words, and its terms under one norm
+    and n-gram at a time; the descents themselves run in the JVM."""
+    if not {*values["ngram"]} <= {1, 2} or features > 1 << 20:
+        raise ValueError("ngram is 1 or 2, features are at most 2**20")
     shards = max(1, -(-rows.count() // shard))
-    told = rows.select(F.col(id_column).alias("id"), F.pmod(F.xxhash64(id_column), F.lit(shards)).alias("shard"), "y", "fold")
-    parts = None
-    for norm in values["norm"]:
-        for ngram in values["ngram"]:
-            own = hashed_terms(rows, id_column, "x", features=features, ngram=ngram, norm=norm)
-            own = own.groupBy("id").agg(F.collect_list(F.struct("bucket", "value")).alias("x"))
-            own = told.join(own, "id", "left").withColumn("norm", F.lit(norm)).withColumn("ngram", F.lit(ngram))
-            parts = own if parts is None else parts.unionByName(own)
-    stops, penalties, alphas = sorted(values["max_iter"]), values["penalty"], values["alpha"]
-    schema = "norm string, ngram int, alpha double, max_iter int, penalty string, good long, n long"
-
-    def fit(found: pa.Table) -> pa.Table:
-        rows_ = sorted(found.select(["id", "x", "y", "fold"]).to_pylist(), key=lambda r: r["id"])
-        x = [(np.array([e["bucket"] for e in r["x"] or []], dtype=np.int64), np.array([e["value"] for e in r["x"] or []])) for r in rows_]
-        y, fold = np.array([2 * r["y"] - 1 for r in rows_]), np.array([r["fold"] for r in rows_])
-        # Weights of terms that the shard lacks stay 0: only those it has are kept.
-        known = np.unique(np.concatenate([at for at, _ in x]))
-        x = [(np.searchsorted(known, at), val) for at, val in x]
-        out = []
-        for alpha in alphas:
-            for penalty in penalties:
-                good = dict.fromkeys(stops, 0)
-                for k in range(5):
-                    train, test = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-                    if not len(test) or not len(train):
-                        continue
-                    for stop, (w, b) in zip(stops, hinge_path([x[i] for i in train], y[train], len(known), alpha, NETS[penalty], stops)):
-                        good[stop] += sum((w[x[i][0]] @ x[i][1] + b > 0) == (y[i] > 0) for i in test)
-                out += [(found.column("norm")[0].as_py(), found.column("ngram")[0].as_py(), alpha, stop, penalty, int(good[stop]), len(y)) for stop in stops]
-        kinds = [pa.string(), pa.int32(), pa.float64(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
-        names = ["norm", "ngram", "alpha", "max_iter", "penalty", "good", "n"]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
-
-    found = parts.groupBy("norm", "ngram", "shard").applyInArrow(fit, schema)
+    dealt = rows.select(F.col(id_column).alias("id"), F.pmod(F.xxhash64(id_column), F.lit(shards)).cast("int").alias("shard"), "y", "fold", F.expr(WORDS.format("x")).alias("w"))
+    # Little data is much work here: partitions are not to be put together by their bytes.
+    dealt = dealt.repartitionById(shards, "shard")
+    stops = sorted(values["max_iter"])
+    tried = [(alpha, penalty) for alpha in values["alpha"] for penalty in values["penalty"]]
+
+    def terms(found: pa.Table) -> pa.Table:
+        found = found.sort_by([("id", "ascending"), ("y", "ascending"), ("fold", "ascending")]).combine_chunks()
+        y, fold, words = 2 * found.column("y").to_numpy() - 1, found.column("fold").to_numpy(), found.column("w").combine_chunks()
+        sets = [(norm, ngram) for norm in values["norm"] for ngram in values["ngram"]]
+        packed = [pack(words, y, fold, [a for a, _ in tried], [NETS[p] for _, p in tried], stops, features=features, ngram=ngram, norm=norm) for norm, ngram in sets]
+        norms, ngrams = zip(*sets)
+        return pa.table({"norm": pa.array(norms), "ngram": pa.array(ngrams, pa.int32()), "n": pa.array([len(y)] * len(sets), pa.int64()), "packed": pa.array(packed, pa.binary())})
+
+    found = dealt.groupBy("shard").applyInArrow(terms, "norm string, ngram int, n long, packed binary")
+    found = found.select("norm", "ngram", "n", F.posexplode(F.call_function(descents(rows.sparkSession), "packed")).alias("place", "good"))
+    own = F.array(*(F.struct(F.lit(a).cast("double").alias("alpha"), F.lit(s).alias("max_iter"), F.lit(p).alias("penalty")) for a, p in tried for s in stops))
+    found = found.select("norm", "ngram", own[F.col("place")].alias("p"), "good", "n").select("norm", "ngram", "p.*", "good", "n")
     by = ["norm", "ngram", "alpha", "max_iter", "penalty"]
     return found.groupBy(*by).agg((F.sum("good") / F.sum("n")).alias("accuracy"))
 

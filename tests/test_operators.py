@@ -113,6 +113,71 @@ def test_registered_search_is_the_whole_grid(spark):
     assert max(r.accuracy for r in found) > 0.9
 
 
+def _plain_search(rows, values, features):
+    """Right answers by combination: the same, from the definition, for rows of one shard."""
+    import hashlib
+    import re
+
+    import numpy as np
+
+    good, rows = {}, sorted(rows)
+    y, fold = np.array([2 * r[1] - 1 for r in rows]), np.array([r[3] for r in rows])
+    for norm in values["norm"]:
+        for ngram in values["ngram"]:
+            x = []
+            for r in rows:
+                w = re.findall("[a-z0-9_][a-z0-9_]+", (r[2] or "").lower())
+                terms = w + [f"{a} {b}" for a, b in zip(w, w[1:])] * (ngram == 2)
+                at, n = np.unique(np.array([int(hashlib.md5(t.encode()).hexdigest()[:5], 16) % features for t in terms], dtype=int), return_counts=True)
+                x.append((at, n / (n.sum() if norm == "l1" else np.sqrt((n * n).sum()))))
+            for alpha in values["alpha"]:
+                for penalty in values["penalty"]:
+                    for k in range(5):
+                        train, test = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+                        for stop, (w, b) in zip(values["max_iter"], tuning.hinge_path([x[i] for i in train], y[train], features, alpha, tuning.NETS[penalty], values["max_iter"])):
+                            key = (norm, ngram, alpha, stop, penalty)
+                            good[key] = good.get(key, 0) + sum((w[x[i][0]] @ x[i][1] + b > 0) == (y[i] > 0) for i in test)
+    return good
+
+
+def test_search_is_that_of_the_definition(spark):
+    r = random.Random(4)
+    text = lambda y: " ".join(r.choice(["good", "fine", "one two", "Two_3", "x"] if y and r.random() < 0.7 else ["bad", "sad", "one", "two", f"w{r.randrange(90)}"]) for _ in range(r.randrange(1, 30)))
+    rows = [(i, int(i % 3 > 0), text(i % 3), i % 5) for i in range(120)] + [(200, 1, "", 0), (201, 0, None, 1), (202, 1, "one", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, y int, x string, fold int")
+    values = {"norm": ["l1", "l2"], "ngram": [1, 2], "alpha": [1e-2, 1e-4], "max_iter": [3, 12], "penalty": ["l2", "l1", "elasticnet"]}
+    for features in (1 << 18, 64):
+        want = _plain_search(rows, values, features)
+        got = {tuple(x)[:5]: x.accuracy * len(rows) for x in tuning.search_grid(df, values, features=features).collect()}
+        assert got.keys() == want.keys()
+        assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("name", ["grid_search"])
+def test_the_whole_grid_takes_seconds(spark, name):
+    """3,980 rows; each step of a descent in Python took minutes."""
+    began = time.time()
+    assert max(r.accuracy for r in queries.QUERIES[name](spark, "/root/testdata/sf0.1").collect()) > 0.85
+    assert time.time() - began < 40
+
+
+def test_packed_rows_hold_the_hashed_terms(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    docs = [(0, "a1 b2 a1 c3 dd zz"), (1, ""), (2, "zz b2 qq qq qq rr"), (3, None), (4, "b2")]
+    words = pa.array([(t or "").split() if t is not None else None for _, t in docs], pa.list_(pa.string()))
+    for norm in ("l1", "l2"):
+        for ngram in (1, 2):
+            df = spark.createDataFrame(docs, "i long, x string")
+            want = {(x.id, x.bucket): x.value for x in tuning.hashed_terms(df, "i", "x", features=1 << 12, ngram=ngram, norm=norm).collect()}
+            row, bucket, value = tuning.hashed_rows(words, 1 << 12, ngram, norm)
+            assert dict(zip(zip(row.tolist(), bucket.tolist()), value.tolist())) == pytest.approx(want)
+            r, at, val, copies = tuning.merged(row, bucket, value)
+            assert copies.sum() == len({*bucket.tolist()}) and len(copies) == at.max() + 1 < copies.sum()
+            assert np.bincount(r, val**2 * copies[at], 5) == pytest.approx(np.bincount(row, value**2, 5))
+
+
 def test_descent(spark):
     import numpy as np
 
