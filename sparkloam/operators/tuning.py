@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import os
 import pkgutil
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,8 +60,8 @@ def grid(spark, values: dict[str, list] = GRID) -> DataFrame:
 NETS = {"l2": 0.0, "l1": 1.0, "elasticnet": 0.15}
 #: Labelled rows that one task searches over, on average.
 SHARD = 512
-#: Words of two or more letters, digits or underscores of a lower-cased column.
-WORDS = "regexp_extract_all(lower(`{}`), '[a-z0-9_][a-z0-9_]+', 0)"
+#: Words of a lower-cased text: two or more letters, digits or underscores.
+WORD = "[a-z0-9_][a-z0-9_]+"
 
 
 def hashed_terms(rows: DataFrame, id_column: str, text_column: str, *, features: int = 1 << 18, ngram: int = 1, norm: str | None = "l2") -> DataFrame:
@@ -68,7 +70,7 @@ def hashed_terms(rows: DataFrame, id_column: str, text_column: str, *, features:
     in. Values have length 1 by the norm; without one they are counts."""
     if not 1 <= ngram <= 2 or features > 1 << 20:
         raise ValueError("ngram is 1 or 2, features are at most 2**20")
-    words = F.expr(WORDS.format(text_column))
+    words = F.expr(f"regexp_extract_all(lower(`{text_column}`), '{WORD}', 0)")
     pairs = F.expr("transform(sequence(1, size(w) - 1), i -> concat(w[i - 1], ' ', w[i]))")
     terms = F.col("w") if ngram == 1 else F.concat("w", F.when(F.size("w") > 1, pairs).otherwise(F.array().cast("array<string>")))
     out = rows.select(F.col(id_column).alias("id"), words.alias("w")).select("id", F.explode(terms).alias("t"))
@@ -121,63 +123,81 @@ def hinge_path(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, features:
     return out
 
 
-def hashed_rows(words: pa.Array, features: int, ngram: int, norm: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, bucket, value) of hashed_terms() from the words of each row."""
+def hashed_rows(words: pa.Array, features: int, ngrams: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each ngram (row, bucket, value) of hashed_terms() without a norm, from the words of
+    each row."""
     ends = np.concatenate([[0], np.cumsum(words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
     coded = words.flatten().dictionary_encode()
-    code, names = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+    code, names = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), [t.encode() for t in coded.dictionary.to_pylist()]
     row = np.repeat(np.arange(len(words)), np.diff(ends))
-    place = lambda terms: np.array([int.from_bytes(hashlib.md5(t.encode()).digest()[:3], "big") >> 4 for t in terms], dtype=np.int64) % features
-    rows, buckets = row, place(names)[code]
-    if ngram == 2 and len(code):
-        two = np.flatnonzero(row[1:] == row[:-1])
-        pairs, which = np.unique(code[two] * len(names) + code[two + 1], return_inverse=True)
-        pairs = place(f"{names[p // len(names)]} {names[p % len(names)]}" for p in pairs.tolist())
-        rows, buckets = np.concatenate([row, row[two]]), np.concatenate([buckets, pairs[which]])
-    key, n = np.unique(rows * features + buckets, return_counts=True)
-    row, bucket = key // features, key % features
-    size = np.bincount(row, n, len(words)) if norm == "l1" else np.sqrt(np.bincount(row, n * n, len(words)))
-    return row, bucket, n / size[row]
-
-
-def merged(row: np.ndarray, bucket: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, index, value, copies): buckets that occur in the same rows with the same values get
-    the same weights, whatever they are trained on, and so become one feature with its copies."""
+    md5 = hashlib.md5
+    place = lambda terms: (np.frombuffer(b"".join([md5(t).digest()[:4] for t in terms]), ">u4").astype(np.int64) >> 12) % features
+    buckets = place(names)[code]
+    for ngram in ngrams:
+        key = row * features + buckets
+        if ngram == 2 and len(code):
+            two = np.flatnonzero(row[1:] == row[:-1])
+            pairs, which = np.unique(code[two] * len(names) + code[two + 1], return_inverse=True)
+            first, second = np.divmod(pairs, len(names))
+            pairs = place([names[i] + b" " + names[j] for i, j in zip(first.tolist(), second.tolist())])
+            key = np.concatenate([key, row[two] * features + pairs[which]])
+        key, n = np.unique(key, return_counts=True)
+        yield ngram, key // features, key % features, n
+
+
+def merged(row: np.ndarray, bucket: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, index, n, copies): buckets that occur in the same rows as often get the same weights,
+    whatever they are trained on, and so become one feature with its copies. Those of many
+    rows come first, those of one row by row."""
     order = np.lexsort((row, bucket))
-    row, bucket, value = row[order], bucket[order], value[order]
-    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, dtype=int)
-    known, keep, copies = {}, np.zeros(len(starts), dtype=bool), []
-    for i, (a, b) in enumerate(zip(starts.tolist(), [*starts[1:].tolist(), len(bucket)])):
-        place = known.setdefault((row[a:b].tobytes(), value[a:b].tobytes()), len(copies))
-        if place == len(copies):
-            copies.append(0)
-            keep[i] = True
-        copies[place] += 1
-    each = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(bucket))))
-    index = (np.cumsum(keep) - 1)[each]
-    taken = keep[each]
-    return row[taken], index[taken], value[taken], np.array(copies, dtype=float)
-
-
-def pack(words: pa.Array, y: np.ndarray, fold: np.ndarray, alpha: list[float], net: list[float], stops: list[int], *, features: int, ngram: int, norm: str, k: int = 5) -> bytes:
-    """The argument of Descent.java: rows, folds, features, combinations, numbers of epochs and
-    visits; then where each row ends, indices, folds, epochs, and the rows that each fold's
-    training meets, epoch by epoch; then values, copies, labels and the combinations."""
-    row, index, value, copies = merged(*hashed_rows(words, features, ngram, norm))
-    by = np.argsort(row, kind="stable")
-    row, index, value = row[by], index[by], value[by]
-    visits = []
+    row, bucket, n = row[order], bucket[order], n[order]
+    starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    sizes = np.diff(np.append(starts, len(bucket)))
+    group, known, wide = np.zeros(len(starts), dtype=np.int64), {}, sizes > 1
+    held = np.stack([row, n], 1)
+    for i, a, b in zip(np.flatnonzero(wide).tolist(), starts[wide].tolist(), (starts + sizes)[wide].tolist()):
+        group[i] = known.setdefault(held[a:b].tobytes(), len(known))
+    one = starts[~wide]
+    group[~wide] = len(known) + np.unique(row[one] * (n.max(initial=0) + 1) + n[one], return_inverse=True)[1]
+    _, lead, copies = np.unique(group, return_index=True, return_counts=True)
+    by = np.lexsort((np.arange(len(lead)), -sizes[lead]))
+    index = np.zeros(len(lead), dtype=np.int64)
+    index[by] = np.arange(len(by))
+    keep = np.zeros(len(starts), dtype=bool)
+    keep[lead] = True
+    taken = np.repeat(keep, sizes)
+    return row[taken], np.repeat(index[group], sizes)[taken], n[taken], copies[by].astype(float)
+
+
+def visits(fold: np.ndarray, epochs: int, k: int) -> np.ndarray:
+    """The rows that hinge_path() meets in each fold's training, epoch by epoch."""
+    out = [np.zeros(0, dtype="<i4")]
     for held in range(k):
-        train = np.flatnonzero(fold != held)
+        train = np.flatnonzero(fold != held).astype("<i4")
         order, r = np.arange(len(train)), np.random.default_rng(0)
-        if 0 < len(train) < len(y):
-            for _ in range(max(stops)):
+        if 0 < len(train) < len(fold):
+            for _ in range(epochs):
                 r.shuffle(order)
-                visits.append(train[order])
-    visits = np.concatenate([*visits, np.zeros(0, dtype=int)])
-    sizes = [len(y), k, len(copies), len(alpha), len(stops), len(visits)]
-    whole = [sizes, np.searchsorted(row, np.arange(len(y) + 1)), index, fold, stops, visits]
-    return b"".join([np.asarray(a).astype("<i4").tobytes() for a in whole] + [np.asarray(a).astype("<f8").tobytes() for a in (value, copies, y, alpha, net)])
+                out.append(train[order])
+    return np.concatenate(out)
+
+
+def packed(words: pa.Array, y: np.ndarray, fold: np.ndarray, values: dict[str, list], *, features: int, k: int = 5) -> Iterator[tuple[str, int, bytes]]:
+    """For each norm and ngram the argument of Descent.java: rows, folds, features, combinations,
+    numbers of epochs and visits; then where each row ends, indices, folds, epochs and visits;
+    then values, copies, labels and the combinations."""
+    stops, tried = sorted(values["max_iter"]), [(a, NETS[p]) for a in values["alpha"] for p in values["penalty"]]
+    met = visits(fold, max(stops), k)
+    bytes_of = lambda kind, *arrays: b"".join([np.asarray(a).astype(kind).tobytes() for a in arrays])
+    for ngram, row, bucket, n in hashed_rows(words, features, values["ngram"]):
+        whole = {"l1": np.bincount(row, n, len(y)), "l2": np.sqrt(np.bincount(row, n * n, len(y)))}
+        row, index, n, copies = merged(row, bucket, n)
+        by = np.lexsort((index, row))
+        row, index, n = row[by], index[by], n[by]
+        sizes = [len(y), k, len(copies), len(tried), len(stops), len(met)]
+        head = bytes_of("<i4", sizes, np.searchsorted(row, np.arange(len(y) + 1)), index, fold, stops, met)
+        for norm in values["norm"]:
+            yield norm, ngram, head + bytes_of("<f8", n / whole[norm][row], copies, y, *zip(*tried))
 
 
 def descents(spark) -> str:
@@ -210,12 +230,12 @@ def search_grid(rows: DataFrame, values: dict[str, list] = GRID, *, id_column: s
 
     Rows are dealt to shards of some `shard` rows, and each searches the whole grid over its
     own; a combination's accuracy is that of all held-out rows of all shards. Numbers of
-    epochs share one descent. A task holds one shard's words, and its terms under one norm
-    and n-gram at a time; the descents themselves run in the JVM."""
-    if not {*values["ngram"]} <= {1, 2} or features > 1 << 20:
-        raise ValueError("ngram is 1 or 2, features are at most 2**20")
+    epochs share one descent. A task holds one shard's texts and its terms under every norm
+    and n-gram; the descents themselves run in the JVM."""
+    if not {*values["ngram"]} <= {1, 2} or not {*values["norm"]} <= {"l1", "l2"} or features > 1 << 20:
+        raise ValueError("ngram is 1 or 2, norm l1 or l2, features are at most 2**20")
     shards = max(1, -(-rows.count() // shard))
-    dealt = rows.select(F.col(id_column).alias("id"), F.pmod(F.xxhash64(id_column), F.lit(shards)).cast("int").alias("shard"), "y", "fold", F.expr(WORDS.format("x")).alias("w"))
+    dealt = rows.select(F.col(id_column).alias("id"), F.pmod(F.xxhash64(id_column), F.lit(shards)).cast("int").alias("shard"), "y", "fold", F.lower("x").alias("x"))
     # Little data is much work here: partitions are not to be put together by their bytes.
     dealt = dealt.repartitionById(shards, "shard")
     stops = sorted(values["max_iter"])
@@ -223,11 +243,10 @@ def search_grid(rows: DataFrame, values: dict[str, list] = GRID, *, id_column: s
 
     def terms(found: pa.Table) -> pa.Table:
         found = found.sort_by([("id", "ascending"), ("y", "ascending"), ("fold", "ascending")]).combine_chunks()
-        y, fold, words = 2 * found.column("y").to_numpy() - 1, found.column("fold").to_numpy(), found.column("w").combine_chunks()
-        sets = [(norm, ngram) for norm in values["norm"] for ngram in values["ngram"]]
-        packed = [pack(words, y, fold, [a for a, _ in tried], [NETS[p] for _, p in tried], stops, features=features, ngram=ngram, norm=norm) for norm, ngram in sets]
-        norms, ngrams = zip(*sets)
-        return pa.table({"norm": pa.array(norms), "ngram": pa.array(ngrams, pa.int32()), "n": pa.array([len(y)] * len(sets), pa.int64()), "packed": pa.array(packed, pa.binary())})
+        y, fold = 2 * found.column("y").to_numpy() - 1, found.column("fold").to_numpy()
+        words = pa.array([re.findall(WORD, t or "") for t in found.column("x").to_pylist()], pa.list_(pa.string()))
+        norms, ngrams, args = zip(*packed(words, y, fold, values, features=features))
+        return pa.table({"norm": pa.array(norms), "ngram": pa.array(ngrams, pa.int32()), "n": pa.array([len(y)] * len(args), pa.int64()), "packed": pa.array(args, pa.binary())})
 
     found = dealt.groupBy("shard").applyInArrow(terms, "norm string, ngram int, n long, packed binary")
     found = found.select("norm", "ngram", "n", F.posexplode(F.call_function(descents(rows.sparkSession), "packed")).alias("place", "good"))
