@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .bpe import groups
-from .common import held_out, table
+from .common import held_out, lean, table
 
 #: Labelled texts learned from, by label; latent dimensions; voters; power of the similarity.
 SAMPLE, RANK, VOTERS, POWER = 1500, 48, 25, 6
@@ -51,7 +51,7 @@ class _Terms(dict):
     """Two term numbers of a word in one integer."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         core = word.strip("!.,;:?#*$%&|<>()[]\"'").lower()
         self[word] = out = zlib.crc32(core.encode()) % _HASHED * _SHAPES + _shape(word)
@@ -159,6 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_column: str = "quality", id
     found = texts.join(F.broadcast(chosen), "id")  # at most 2 * sample rows are broadcast
     found = found.groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("label", F.col("t.text").alias("text"))
 
+    @lean
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Features()
         for batch in batches:
@@ -175,6 +176,7 @@ def score(docs: DataFrame, model: Model, *, text_column: str = "text", keep: tup
     """The columns to keep, and the score."""
     known = docs.sparkSession.sparkContext.broadcast(model)  # at most 2 * SAMPLE vectors and TERMS x RANK weights
 
+    @lean
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Features()
         for batch in batches:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import groups
-from .common import discard, row_key, stored, table
+from .common import discard, lean, row_key, stored, table
 
 BUCKETS, BLOCKS = 1 << 21, 256
 #: Odd multipliers that mix word hashes.
@@ -80,6 +80,7 @@ def _order(texts: DataFrame, n: int) -> np.ndarray:
     """By bucket, the logarithm of the shingles in it: BUCKETS bytes, whatever the corpus."""
     size = BUCKETS // BLOCKS
 
+    @lean
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, total = Shingles(n), np.zeros(BUCKETS, dtype=np.int32)
         for batch in batches:
@@ -89,6 +90,7 @@ def _order(texts: DataFrame, n: int) -> np.ndarray:
         small = np.minimum(total, 65535).astype("<u2").reshape(BLOCKS, size)
         yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([x.tobytes() for x in small], pa.binary())], ["block", "counts"])
 
+    @lean
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -109,6 +111,7 @@ def _prefixes(rows: DataFrame, n: int, num: int, den: int, kind: str) -> DataFra
     set, null if empty; same: digest of the prefix."""
     order = rows.sparkSession.sparkContext.broadcast(_order(rows.select("text"), n))  # BUCKETS bytes
 
+    @lean
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, weight = Shingles(n), order.value
         for batch in batches:
@@ -136,6 +139,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, n: int, num:
     """The pairs (a, b) of nodes whose sets are similar enough, as a stored table."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("id", "key", "rk"), "id")
 
+    @lean
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Shingles(n)
         for batch in batches:
@@ -147,6 +151,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, n: int, num:
                 out = [batch.column("id").slice(at, len(part)), pa.array(sets, pa.binary())]
                 yield pa.RecordBatch.from_arrays(out, ["id", "s"]).filter(same)
 
+    @lean
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []

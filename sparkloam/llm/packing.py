@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import by_rank, forget, groups
-from .common import stored, table
+from .common import lean, stored, table
 
-SALTED, KEPT = 1 << 16, 400_000
+SALTED, KEPT = 1 << 16, 100_000
 #: White space other than blank and newline, or letters whose lower case or composition
 #: may depend on their neighbours: such texts are encoded as they are.
 _FAR = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u0130\u0250-\U0010ffff]")
@@ -86,7 +86,7 @@ class Words:
 
 @lru_cache(maxsize=1)
 def words(path: str) -> Words:
-    """One for all tasks of a worker."""
+    """One for all tasks of a worker; each task forgets the words it met at its end."""
     return Words(path)
 
 
@@ -97,8 +97,15 @@ def pieces(docs: DataFrame, path: str, *, size: int = 2048, end_id: int = 0, id_
     end = np.array([end_id], dtype="<u4").tobytes()
     fields = ["piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = words(path)
+        try:
+            yield from each(own, batches)
+        finally:
+            own.kept.clear()
+
+    def each(own: Words, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, part in groups(batch.column("text")):
                 of: list[int] = []
@@ -199,6 +206,7 @@ def pack(found: DataFrame, *, size: int = 2048, order: tuple[str, ...] = ("doc_i
     lengths, ranks, _, first, offset = (np.array(x, dtype=np.int64) for x in (zip(*steps) if steps else [[]] * 5))
     starts = lengths * (1 << 48) + ranks
 
+    @lean
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))

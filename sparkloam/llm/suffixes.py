@@ -30,9 +30,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from .bpe import groups
-from .common import discard, row_key, stored, table
+from .common import discard, lean, row_key, stored, table
 
 DICTIONARY, GRAM, STEP, CHUNK = 512, 32, 16, 1 << 23
+#: Bytes of texts that are parsed at a time; arrays of some ten times eight bytes each go with them.
+AT_ONCE = 1 << 18
 #: Phrases known to every task at most, and how often such a one occurs at least.
 HOT, FEW = 50_000, 100
 #: Odd multipliers.
@@ -149,6 +151,7 @@ def find(rows: DataFrame, size: int, dictionary: int = DICTIONARY) -> DataFrame:
     overlap, of those rows that have any; d.doc_id is the id. rows: (doc_id, rk, raw)."""
     own = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, rk long"
 
+    @lean
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, part in groups(batch.column("raw"), chars=1 << 20):
@@ -159,7 +162,7 @@ def find(rows: DataFrame, size: int, dictionary: int = DICTIONARY) -> DataFrame:
                         of.append(at + i)
                         base.append(a)
                 of, base = np.array(of), np.array(base)
-                for a, b in bounded([len(t) for t in raw], 1 << 21):
+                for a, b in bounded([len(t) for t in raw], AT_ONCE):
                     some = raw[a:b]
                     k, lo, hi, kh = phrases(some, size)
                     if len(k):
@@ -183,6 +186,7 @@ def find(rows: DataFrame, size: int, dictionary: int = DICTIONARY) -> DataFrame:
     at = np.lexsort(pairs[::-1])
     known = rows.sparkSession.sparkContext.broadcast(tuple(x[at] for x in pairs))
 
+    @lean
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The spans of frequent phrases; those that meet, in rows that stand together, as one."""
         kh, ph = known.value
@@ -213,6 +217,7 @@ def find(rows: DataFrame, size: int, dictionary: int = DICTIONARY) -> DataFrame:
     mixed = mixed.select("r.doc_id", "r.rk", "r.lo", "r.hi", "kh", *flags)
     wanted = mixed.groupBy("rk", F.struct("doc_id").alias("d")).agg(F.collect_list(F.struct("lo", "hi", "kh", "twice", "large")).alias("p"))
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["lo", "kh", "twice", "large"]
         for batch in batches:
@@ -232,6 +237,7 @@ def find(rows: DataFrame, size: int, dictionary: int = DICTIONARY) -> DataFrame:
     unique_rows = rows.join(wanted, (rows["rk"] == wanted["rk"]) & rows["doc_id"].eqNullSafe(F.col("d.doc_id"))).select("doc_id", rows["rk"], "raw", "p")
     texts = stored(unique_rows.mapInArrow(cut, own + ", lo long, kh long, twice boolean, large boolean, raw binary").dropDuplicates(["rk", "lo", "kh"]), "phrases")
 
+    @lean
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
 
@@ -256,6 +262,7 @@ def find(rows: DataFrame, size: int, dictionary: int = DICTIONARY) -> DataFrame:
 
     step, gram = min(STEP, max(1, size // 2)), min(GRAM, size)
 
+    @lean
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             of, out = [], {c: [] for c in ("b", "s", "core", "outer", "raw")}
@@ -277,6 +284,7 @@ def find(rows: DataFrame, size: int, dictionary: int = DICTIONARY) -> DataFrame:
             cols = [pa.array(x, t) for x, t in zip(out.values(), kinds)]
             yield pa.RecordBatch.from_arrays([*heads, *cols], ["doc_id", "rk", "kh", "twice", *out])
 
+    @lean
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes = [rolling(np.frombuffer(x, np.uint8), size).view(np.int64) for x in batch.column("raw").to_pylist()]
@@ -331,6 +339,7 @@ def segments(rows: DataFrame, coarse: DataFrame, size: int) -> DataFrame:
     doc_id holds the row's id and key and where the stretch begins."""
     kind = rows.schema["doc_id"].dataType
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
@@ -383,6 +392,7 @@ def dedup(
         spans = find(rows, size, dictionary)
         spans = spans.select("rk", "d", F.struct(F.col("found").alias("fine"), F.col("found").alias("wide")).alias("found"))
 
+    @lean
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
         names = ["doc_id", "rk", "rest", "n_bytes", "n_coarse", "spans", "kept"]

@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -186,3 +187,14 @@ def test_digests(spark, tmp_path):
     ids = Tokenizer.from_file(BYTE).encode("Abc def", add_special_tokens=False).ids
     assert (a.n_tokens, a.ids_sha256, a.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(b"Abc def").hexdigest())
     assert (b.n_tokens, b.ids_sha256) == (0, hashlib.sha256(b"").hexdigest())
+
+
+def test_workers_keep_no_words_after_a_task(spark):
+    docs = spark.createDataFrame([(i, f"word{i} other{i} third") for i in range(40)], "doc_id long, text string").repartition(4)
+    assert packing.pieces(docs, WORD).count() == 40
+
+    def kept(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(packing.words(WORD).kept)], pa.int64())], ["n"])
+
+    assert {r.n for r in spark.range(0, 4, 1, 4).mapInArrow(kept, "n long").collect()} == {0}
