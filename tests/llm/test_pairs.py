@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import pytest
 
-from sparkloam.llm import jaccard, suffixes
+from sparkloam.llm import common, jaccard, suffixes
 
 
 def _components(rows, n, num):
@@ -123,3 +123,14 @@ def test_nothing_to_remove(spark):
     assert suffixes.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     x = suffixes.dedup(spark.createDataFrame([(1, "q" * 500)], "doc_id long, text string")).first()
     assert [(s.s, s.e) for s in x.spans] == [(0, 500)] and x.kept == b""
+
+
+def test_tables_are_stored_without_processes_for_checksums(spark):
+    from pathlib import Path
+
+    table = common.stored(spark.range(100).repartition(3), "t")
+    names = {p.name for p in Path(re.sub("^file:/*", "/", table._stored_at)).iterdir()}
+    assert "_SUCCESS" in names and not any(n.endswith(".crc") for n in names)
+    assert sorted(r.id for r in table.collect()) == list(range(100))
+    common.discard(table)
+    assert not Path(re.sub("^file:/*", "/", table._stored_at)).exists()
