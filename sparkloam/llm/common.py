@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import ctypes
+import os
+import pkgutil
 import re
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from py4j.java_gateway import is_instance_of
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,10 +79,29 @@ def shared_dir(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-#: For writing to file:// paths. The local file system with checksum files starts a process for
-#: each file that it makes and one for its checksum; until such a process runs its own program
-#: it has all memory of the JVM as its own, too, and may be counted with it.
-_PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+def _plain_files(spark: SparkSession) -> dict[str, str]:
+    """For writing to file:// paths without checksum files and without processes: Hadoop's local
+    file systems start one for the mode of each file and folder that they make, and until such a
+    process runs its own program it has all memory of the JVM as its own, too, and may be counted
+    with it. Spark's own compiler makes the class of PlainFiles.java, which executors get as a
+    jar; where the driver's class loader takes no jars, Hadoop's own class is used."""
+    sc, jvm = spark.sparkContext, spark._jvm
+    if not hasattr(sc, "_sparkloam_files"):
+        sc._sparkloam_files = "org.apache.hadoop.fs.RawLocalFileSystem"
+        loader = spark._jsparkSession.sessionState().newHadoopConf().getClassLoader()
+        if is_instance_of(sc._gateway, loader, "org.apache.spark.util.MutableURLClassLoader"):
+            compiler = jvm.org.codehaus.janino.SimpleCompiler()
+            compiler.setParentClassLoader(loader)
+            compiler.cook(pkgutil.get_data(__package__, "PlainFiles.java").decode())
+            code = compiler.getBytecodes()
+            jar = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="sparkloam-")), f"files-{uuid.uuid4().hex}.jar")
+            with zipfile.ZipFile(jar, "w") as out:
+                for made in code:
+                    out.writestr(made.replace(".", "/") + ".class", bytes(code[made]))
+            loader.addURL(jvm.java.io.File(jar).toURI().toURL())
+            sc._jsc.addJar(jar)
+            sc._sparkloam_files = "sparkloam.PlainFiles"
+    return {"fs.file.impl": sc._sparkloam_files, "fs.file.impl.disable.cache": "true"}
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -93,7 +116,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.options(**_PLAIN_FILES).parquet(path)
+        df.write.options(**_plain_files(spark)).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)

@@ -134,3 +134,25 @@ def test_tables_are_stored_without_processes_for_checksums(spark):
     assert sorted(r.id for r in table.collect()) == list(range(100))
     common.discard(table)
     assert not Path(re.sub("^file:/*", "/", table._stored_at)).exists()
+
+
+def test_no_process_is_started_to_store_a_table(spark, tmp_path):
+    from pathlib import Path
+
+    jvm = spark._jvm
+    common.discard(common.stored(spark.range(1), "t"))  # from now on its class is there
+    record = jvm.jdk.jfr.Recording()
+    record.enable("jdk.ProcessStart")
+    record.start()
+    table = common.stored(spark.range(100).repartition(3), "t")
+    record.stop()
+    record.dump(jvm.java.nio.file.Paths.get(str(tmp_path), spark.sparkContext._gateway.new_array(jvm.String, 0)).resolve("starts.jfr"))
+    started = [str(e.getString("command")) for e in jvm.jdk.jfr.consumer.RecordingFile.readAllEvents(jvm.java.nio.file.Paths.get(str(tmp_path / "starts.jfr"), spark.sparkContext._gateway.new_array(jvm.String, 0)))]
+    assert not [x for x in started if table._stored_at.rpartition("/")[2] in x]
+    folder = Path(re.sub("^file:/*", "/", table._stored_at))
+    plain = tmp_path / "plain"
+    spark.range(1).write.parquet(str(plain))
+    mode = lambda top, of: {p.stat().st_mode for p in top.glob(of)}
+    assert mode(folder, "*.parquet") == mode(plain, "*.parquet") and folder.stat().st_mode == plain.stat().st_mode
+    assert sorted(r.id for r in table.collect()) == list(range(100))
+    common.discard(table)
