@@ -104,7 +104,8 @@ def reputation(outcomes: DataFrame, *, host_column: str = "host", outcome_column
 
 def beta_bound(a: str, b: str) -> Column:
     """The upper bound of a beta distribution at QUANTILE, by formula 26.5.22 of Abramowitz and
-    Stegun; a and b are at least 1. The mass below it is 0.95 within 0.015."""
+    Stegun; a and b are at least 1. The mass below it is 0.95 within 0.015 where a is
+    above 1.2, and up to 0.982 where a is 1."""
     return F.expr(_bound(a, b))
 
 
