@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
 from .sorting import ranked, running_sum
 
 #: Fixed values of the searched grid.
@@ -58,7 +59,7 @@ def grid(spark, values: dict[str, list] = GRID) -> DataFrame:
 
 #: Share of the absolute penalty.
 NETS = {"l2": 0.0, "l1": 1.0, "elasticnet": 0.15}
-#: Labelled rows that one task searches over, on average.
+#: Labelled rows of a block, on average.
 SHARD = 512
 #: Words of a lower-cased text: two or more letters, digits or underscores.
 WORD = "[a-z0-9_][a-z0-9_]+"
@@ -82,9 +83,11 @@ def hashed_terms(rows: DataFrame, id_column: str, text_column: str, *, features:
     return out.join(size, "id").select("id", "bucket", (F.col("value") / F.col("size")).alias("value"))
 
 
-def hinge_path(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, features: int, alpha: float, net: float, stops: list[int], seed: int = 0) -> list[tuple[np.ndarray, float]]:
+def hinge_path(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, features: int, alpha: float, net: float, stops: list[int], seed: int = 0, blocks: list[np.ndarray] | None = None) -> list[tuple[np.ndarray, float]]:
     """Weights and intercept of a linear classifier with hinge loss, by stochastic gradient
-    descent, after each number of epochs in stops. x: indices and values; y: -1 or 1.
+    descent, after each number of epochs in stops. x: indices and values; y: -1 or 1;
+    blocks: the numbers of all rows, by block (all rows are one). An epoch meets every row:
+    blocks in a new order, and in each its rows in a new order.
 
     The step falls as 1 / (alpha * t). The squared part of the penalty shrinks all weights
     by a common factor; the absolute part is added up and taken from a weight when its
@@ -92,30 +95,34 @@ def hinge_path(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, features:
     does the same; this is what it is held against."""
     v, scale, intercept = np.zeros(features), 1.0, 0.0
     due, paid = 0.0, np.zeros(features)
-    t, order, r = alpha**-0.75, np.arange(len(y)), np.random.default_rng(seed)  # the first step is alpha ** -0.25
+    t, r = alpha**-0.75, np.random.default_rng(seed)  # the first step is alpha ** -0.25
+    order = [np.array(b) for b in blocks] if blocks else [np.arange(len(y))]
+    turn = np.arange(len(order))
     out, best, stale = [], np.inf, 0
     for epoch in range(1, max(stops) + 1):
-        loss = 0.0
         if stale < 5:
-            r.shuffle(order)
-            for i in order:
-                at, val = x[i]
-                step = 1 / (alpha * t)
-                margin = y[i] * (scale * (v[at] @ val) + intercept)
-                loss += max(0.0, 1 - margin)
-                scale *= max(1e-9, 1 - (1 - net) * step * alpha)
-                if margin < 1:
-                    v[at] += step * y[i] / scale * val
-                    intercept += 0.01 * step * y[i]
-                if net:
-                    due += net * step * alpha
-                    w = scale * v[at]
-                    new = np.where(w > 0, np.maximum(0, w - (due + paid[at])), np.minimum(0, w + (due - paid[at])))
-                    paid[at] += new - w
-                    v[at] = new / scale
-                if scale < 1e-6:
-                    v, scale = v * scale, 1.0
-                t += 1
+            loss = 0.0
+            r.shuffle(turn)
+            for block in turn:
+                r.shuffle(order[block])
+                for i in order[block]:
+                    at, val = x[i]
+                    step = 1 / (alpha * t)
+                    margin = y[i] * (scale * (v[at] @ val) + intercept)
+                    loss += max(0.0, 1 - margin)
+                    scale *= max(1e-9, 1 - (1 - net) * step * alpha)
+                    if margin < 1:
+                        v[at] += step * y[i] / scale * val
+                        intercept += 0.01 * step * y[i]
+                    if net:
+                        due += net * step * alpha
+                        w = scale * v[at]
+                        new = np.where(w > 0, np.maximum(0, w - (due + paid[at])), np.minimum(0, w + (due - paid[at])))
+                        paid[at] += new - w
+                        v[at] = new / scale
+                    if scale < 1e-6:
+                        v, scale = v * scale, 1.0
+                    t += 1
             stale = stale + 1 if loss > best - 1e-3 * len(y) else 0
             best = min(best, loss)
         if epoch in stops:
@@ -148,7 +155,8 @@ def hashed_rows(words: pa.Array, features: int, ngrams: list[int]) -> Iterator[t
 def merged(row: np.ndarray, bucket: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, index, n, copies): buckets that occur in the same rows as often get the same weights,
     whatever they are trained on, and so become one feature with its copies. Those of many
-    rows come first, those of one row by row."""
+    rows come first, those of one row by row. For rows that are all at hand; search_grid() sees
+    a block at a time and does without."""
     order = np.lexsort((row, bucket))
     row, bucket, n = row[order], bucket[order], n[order]
     starts = np.flatnonzero(np.diff(bucket, prepend=-1))
@@ -169,44 +177,44 @@ def merged(row: np.ndarray, bucket: np.ndarray, n: np.ndarray) -> tuple[np.ndarr
     return row[taken], np.repeat(index[group], sizes)[taken], n[taken], copies[by].astype(float)
 
 
-def visits(fold: np.ndarray, epochs: int, k: int) -> np.ndarray:
-    """The rows that hinge_path() meets in each fold's training, epoch by epoch."""
-    out = [np.zeros(0, dtype="<i4")]
-    for held in range(k):
-        train = np.flatnonzero(fold != held).astype("<i4")
-        order, r = np.arange(len(train)), np.random.default_rng(0)
-        if 0 < len(train) < len(fold):
-            for _ in range(epochs):
-                r.shuffle(order)
-                out.append(train[order])
-    return np.concatenate(out)
-
-
-def packed(words: pa.Array, y: np.ndarray, fold: np.ndarray, values: dict[str, list], *, features: int, k: int = 5) -> Iterator[tuple[str, int, bytes]]:
-    """For each norm and ngram the argument of Descent.java: rows, folds, features, combinations,
-    numbers of epochs and visits; then where each row ends, indices, folds, epochs and visits;
-    then values, copies, labels and the combinations."""
-    stops, tried = sorted(values["max_iter"]), [(a, NETS[p]) for a in values["alpha"] for p in values["penalty"]]
-    met = visits(fold, max(stops), k)
-    bytes_of = lambda kind, *arrays: b"".join([np.asarray(a).astype(kind).tobytes() for a in arrays])
-    for ngram, row, bucket, n in hashed_rows(words, features, values["ngram"]):
-        whole = {"l1": np.bincount(row, n, len(y)), "l2": np.sqrt(np.bincount(row, n * n, len(y)))}
-        row, index, n, copies = merged(row, bucket, n)
-        by = np.lexsort((index, row))
-        row, index, n = row[by], index[by], n[by]
-        sizes = [len(y), k, len(copies), len(tried), len(stops), len(met)]
-        head = bytes_of("<i4", sizes, np.searchsorted(row, np.arange(len(y) + 1)), index, fold, stops, met)
-        for norm in values["norm"]:
-            yield norm, ngram, head + bytes_of("<f8", n / whole[norm][row], copies, y, *zip(*tried))
-
-
-def descents(spark) -> str:
-    """Name of the function of Descent.java in this session. Spark's own compiler makes its
-    class, which executors get as a jar from the driver."""
+#: The largest count of one entry of a block; larger ones take several.
+MOST = (1 << 12) - 1
+
+
+def packed(words: pa.Array, y: np.ndarray, fold: np.ndarray, values: dict[str, list], *, features: int) -> bytes:
+    """A block of Descent.java: numbers of rows, ngrams, norms and entries; for each row and ngram
+    where its entries end, folds and labels; entries, which hold bucket and count and are in order
+    of rows, a row's words before its pairs; for each norm and ngram what a row's counts are to be
+    multiplied by."""
+    ngrams, n = sorted({*values["ngram"]}), len(y)
+    rows, parts, sizes, before = np.arange(n), [], {}, None
+    for place, (ngram, row, bucket, count) in enumerate(hashed_rows(words, features, ngrams)):
+        sizes["l1", ngram], sizes["l2", ngram] = np.bincount(row, count, n), np.sqrt(np.bincount(row, count * count, n))
+        key, own = row * features + bucket, count.copy()
+        if before:  # what the shorter ones have is there already
+            own[np.searchsorted(key, before[0])] -= before[1]
+        before = key, count
+        keep = own > 0
+        times = -(-own[keep] // MOST)
+        held = np.full(times.sum(), MOST)
+        held[np.cumsum(times) - 1] = own[keep] - MOST * (times - 1)
+        parts.append((np.repeat(row[keep] * len(ngrams) + place, times), np.repeat(bucket[keep], times) << 12 | held))
+    key, entry = map(np.concatenate, zip(*parts))
+    by = np.argsort(key, kind="stable")
+    ends = np.searchsorted(key[by], np.arange(n * len(ngrams)), side="right")
+    factors = [1 / np.where(sizes[norm, ngram] > 0, sizes[norm, ngram], 1)[rows] for norm in values["norm"] for ngram in ngrams]
+    head = [np.asarray(a).astype("<i4").tobytes() for a in ([n, len(ngrams), len(values["norm"]), len(entry)], ends, fold, y)]
+    return b"".join([*head, entry[by].astype("<u4").tobytes(), *(f.astype("<f8").tobytes() for f in factors)])
+
+
+def descents(spark) -> tuple[str, str]:
+    """Names of the functions of Descent.java in this session: one that stores a block and one
+    that descends. Spark's own compiler makes their class, which executors get as a jar from the
+    driver."""
     jvm, gateway = spark._jvm, spark.sparkContext._gateway
-    name = "sparkloam_descents"
-    if spark.catalog.functionExists(name):
-        return name
+    names = "sparkloam_block", "sparkloam_descents"
+    if spark.catalog.functionExists(names[1]):
+        return names
     compiler = jvm.org.codehaus.janino.SimpleCompiler()
     compiler.setParentClassLoader(jvm.org.apache.spark.util.Utils.getContextOrSparkClassLoader())
     compiler.cook(pkgutil.get_data(__package__, "Descent.java").decode())
@@ -219,41 +227,70 @@ def descents(spark) -> str:
     urls = gateway.new_array(jvm.java.net.URL, 1)
     urls[0] = jvm.java.io.File(jar).toURI().toURL()
     loader = jvm.java.net.URLClassLoader(urls, jvm.org.apache.spark.util.Utils.getContextOrSparkClassLoader())
-    made = loader.loadClass("sparkloam.Descent").newInstance()
-    spark._jsparkSession.udf().register(name, made, spark._jsparkSession.parseDataType('{"type":"array","elementType":"long","containsNull":false}'))
-    return name
+    for name, made, kind in zip(names, ("Block", "Descent"), ('"long"', '{"type":"array","elementType":"long","containsNull":false}')):
+        spark._jsparkSession.udf().register(name, loader.loadClass(f"sparkloam.{made}").newInstance(), spark._jsparkSession.parseDataType(kind))
+    return names
 
 
-def search_grid(rows: DataFrame, values: dict[str, list] = GRID, *, id_column: str = "doc_id", features: int = 1 << 18, shard: int = SHARD) -> DataFrame:
-    """(norm, ngram, alpha, max_iter, penalty, accuracy): mean accuracy over the five folds for
+def search_grid(rows: DataFrame, values: dict[str, list] = GRID, *, id_column: str = "doc_id", features: int = 1 << 18, shard: int = SHARD, k: int = 5) -> DataFrame:
+    """(norm, ngram, alpha, max_iter, penalty, accuracy): mean accuracy over the k folds for
     every combination of the values. rows: id, x, y (0 or 1), fold.
 
-    Rows are dealt to shards of some `shard` rows, and each searches the whole grid over its
-    own; a combination's accuracy is that of all held-out rows of all shards. Numbers of
-    epochs share one descent. A task holds one shard's texts and its terms under every norm
-    and n-gram; the descents themselves run in the JVM."""
+    Each model is trained on all rows outside its fold, and tried on all in it. Rows are hashed
+    in blocks of some `shard` rows, which go to the shared folder until the search has ended. A
+    task trains the models of one fold, norm, ngram and penalty, whose numbers of epochs share
+    one descent; it reads one block after the other in every epoch. An executor keeps blocks in
+    memory between epochs as far as they fit into a part of it."""
     if not {*values["ngram"]} <= {1, 2} or not {*values["norm"]} <= {"l1", "l2"} or features > 1 << 20:
         raise ValueError("ngram is 1 or 2, norm l1 or l2, features are at most 2**20")
+    spark = rows.sparkSession
     shards = max(1, -(-rows.count() // shard))
     dealt = rows.select(F.col(id_column).alias("id"), F.pmod(F.xxhash64(id_column), F.lit(shards)).cast("int").alias("shard"), "y", "fold", F.lower("x").alias("x"))
     # Little data is much work here: partitions are not to be put together by their bytes.
     dealt = dealt.repartitionById(shards, "shard")
-    stops = sorted(values["max_iter"])
-    tried = [(alpha, penalty) for alpha in values["alpha"] for penalty in values["penalty"]]
+    store, descend = descents(spark)
+    folder = f"{shared_dir(spark).rstrip('/')}/grid-{uuid.uuid4().hex}"
 
     def terms(found: pa.Table) -> pa.Table:
-        found = found.sort_by([("id", "ascending"), ("y", "ascending"), ("fold", "ascending")]).combine_chunks()
+        found = found.sort_by([("id", "ascending"), ("y", "ascending"), ("fold", "ascending"), ("x", "ascending")]).combine_chunks()
         y, fold = 2 * found.column("y").to_numpy() - 1, found.column("fold").to_numpy()
         words = pa.array([re.findall(WORD, t or "") for t in found.column("x").to_pylist()], pa.list_(pa.string()))
-        norms, ngrams, args = zip(*packed(words, y, fold, values, features=features))
-        return pa.table({"norm": pa.array(norms), "ngram": pa.array(ngrams, pa.int32()), "n": pa.array([len(y)] * len(args), pa.int64()), "packed": pa.array(args, pa.binary())})
-
-    found = dealt.groupBy("shard").applyInArrow(terms, "norm string, ngram int, n long, packed binary")
-    found = found.select("norm", "ngram", "n", F.posexplode(F.call_function(descents(rows.sparkSession), "packed")).alias("place", "good"))
-    own = F.array(*(F.struct(F.lit(a).cast("double").alias("alpha"), F.lit(s).alias("max_iter"), F.lit(p).alias("penalty")) for a, p in tried for s in stops))
-    found = found.select("norm", "ngram", own[F.col("place")].alias("p"), "good", "n").select("norm", "ngram", "p.*", "good", "n")
-    by = ["norm", "ngram", "alpha", "max_iter", "penalty"]
-    return found.groupBy(*by).agg((F.sum("good") / F.sum("n")).alias("accuracy"))
+        block = packed(words, y, fold, values, features=features)
+        return pa.table({"shard": found.column("shard").slice(0, 1), "n": pa.array([len(y)], pa.int64()), "packed": pa.array([block], pa.binary())})
+
+    try:
+        blocks = dealt.groupBy("shard").applyInArrow(terms, "shard int, n long, packed binary")
+        blocks = blocks.select("shard", "n", F.call_function(store, F.lit(folder), "shard", "packed").alias("bytes"))
+        blocks = sorted((r["shard"], r["n"]) for r in blocks.where("bytes > 0").collect())  # a row a block
+        good = _searched(spark, descend, folder, [b for b, _ in blocks], values, features, k) if blocks else {}
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    n = sum(n for _, n in blocks)
+    out = [(*combination, right / n) for combination, right in good.items()]
+    return spark.createDataFrame(out, "norm string, ngram int, alpha double, max_iter int, penalty string, accuracy double")
+
+
+def _searched(spark, descend: str, folder: str, blocks: list[int], values: dict[str, list], features: int, k: int) -> dict[tuple, int]:
+    """Right answers of all folds by (norm, ngram, alpha, max_iter, penalty)."""
+    ngrams, stops, alphas = sorted({*values["ngram"]}), sorted(values["max_iter"]), values["alpha"]
+    state = np.random.default_rng(0).bit_generator.state["state"]
+    seed = b"".join(state[part].to_bytes(16, "little") for part in ("state", "inc"))
+    # Those that take longest come first.
+    tasks = [(ngram, penalty, norm, fold) for ngram in ngrams[::-1] for penalty in sorted(values["penalty"], key=NETS.get, reverse=True) for norm in values["norm"] for fold in range(k)]
+    args = []
+    for ngram, penalty, norm, fold in tasks:
+        place = ngrams.index(ngram)
+        ints = np.array([place, values["norm"].index(norm) * len(ngrams) + place, fold, features, len(alphas), len(stops), *stops], "<i4")
+        args.append(bytearray(ints.tobytes() + seed + np.array([NETS[penalty], *alphas], "<f8").tobytes()))
+    own = F.array(*map(F.lit, args))[F.col("id").cast("int")]
+    found = spark.range(0, len(tasks), 1, len(tasks)).select("id", F.call_function(descend, F.lit(folder), F.lit(bytearray(np.array(blocks, "<i4").tobytes())), own).alias("good"))
+    good: dict[tuple, int] = {}
+    for task, right in found.collect():  # a row a task
+        ngram, penalty, norm, _ = tasks[task]
+        for key, own in zip(((norm, ngram, alpha, stop, penalty) for alpha in alphas for stop in stops), right):
+            good[key] = good.get(key, 0) + own
+    return good
 
 
 def best_of(found: DataFrame) -> DataFrame:

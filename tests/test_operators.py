@@ -161,6 +161,42 @@ def test_the_whole_grid_takes_seconds(spark, name):
     assert time.time() - began < 40
 
 
+def test_models_learn_from_the_rows_of_all_blocks(spark):
+    """Each row's word stands in one other row, mostly of another block: a model that is trained on its
+    own block alone doesn't know it."""
+    names = [f"{'good' if y else 'bad'}{w}" for w in range(150) for y in (0, 1)]
+    rows = [(i, i % 2, f"{names[i % 300]} the", i // 300 * 2) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, y int, x string, fold int")
+    values = {"norm": ["l2"], "ngram": [1], "alpha": [1e-4], "max_iter": [20], "penalty": ["l2"]}
+    for shard in (1000, 30):
+        assert tuning.search_grid(df, values, shard=shard).first().accuracy > 0.95
+
+
+def test_search_over_blocks_is_that_of_the_definition(spark, monkeypatch):
+    import numpy as np
+
+    r = random.Random(6)
+    texts = [" ".join(r.choice(["good", "fine", f"g{r.randrange(40)}"] if i % 2 and r.random() < 0.6 else ["bad", "sad", f"w{r.randrange(60)}"]) for _ in range(r.randrange(1, 12))) for i in range(150)]
+    texts[7] = "good " * 9000  # a count of more than one entry
+    rows = [(i, i % 2, texts[i], i % 5) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, y int, x string, fold int")
+    values = {"norm": ["l1", "l2"], "ngram": [1, 2], "alpha": [1e-2, 1e-4], "max_iter": [3, 40], "penalty": ["l2", "l1", "elasticnet"]}
+    shards = -(-len(rows) // 20)
+    block = np.array([x.b for x in df.orderBy("doc_id").select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("b")).collect()])
+    fold, path, calls = np.arange(150) % 5, tuning.hinge_path, []
+
+    def by_blocks(x, y, *args):
+        train = np.flatnonzero(fold != len(calls) % 5)
+        calls.append(len(train))
+        return path(x, y, *args, blocks=[np.flatnonzero(block[train] == b) for b in np.unique(block)])
+
+    monkeypatch.setattr(tuning, "hinge_path", by_blocks)
+    for features in (1 << 18, 64):
+        want = _plain_search(rows, values, features)
+        got = {tuple(x)[:5]: x.accuracy * len(rows) for x in tuning.search_grid(df, values, features=features, shard=20).collect()}
+        assert got == pytest.approx(want)
+
+
 def test_packed_rows_hold_the_hashed_terms(spark):
     import numpy as np
     import pyarrow as pa
