@@ -339,8 +339,8 @@ def communication_compute(spark, d):
 LINES = "l AS (SELECT doc_id, '__label__' || (quality + 1) || ' ' || text AS value FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL AND quality IS NOT NULL), x AS (SELECT doc_id, substr(value, 10, 1)::INT - 1 AS y, substr(value, 12) AS x FROM l)"
 
 
-def _lines(spark, d):
-    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").where("text IS NOT NULL AND quality IS NOT NULL")
+def _lines(spark, d, labels=None):
+    rows = table(spark, d, "documents").join(labels or table(spark, d, "labels"), "doc_id").where("text IS NOT NULL AND quality IS NOT NULL")
     lines = rows.select("doc_id", F.concat(F.lit("__label__"), (F.col("quality") + 1).cast("string"), F.lit(" "), "text").alias("value"))
     return tuning.parse_lines(lines).select("doc_id", "y", "x")
 
@@ -381,7 +381,8 @@ def text_hashing_tf(spark, d):
 
 @query()
 def grid_search(spark, d):
-    return tuning.search_grid(tuning.folds(_lines(spark, d), "doc_id"))
+    # Labels grow with documents: both are dealt by id, and labels are broadcast at no size.
+    return tuning.search_grid(tuning.folds(_lines(spark, d, table(spark, d, "labels").hint("merge")), "doc_id"))
 
 
 @query()

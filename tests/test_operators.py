@@ -172,6 +172,15 @@ def test_models_learn_from_the_rows_of_all_blocks(spark):
         assert tuning.search_grid(df, values, shard=shard).first().accuracy > 0.95
 
 
+def test_best_of_the_registered_search_learns_from_all_blocks(spark, tmp_path):
+    """2,000 rows are four blocks, and each row's word stands in one other row."""
+    # The folds are runs of 200 ids a label: the two rows of a word are in different ones.
+    df = spark.createDataFrame([(i, i % 2, f"{'good' if i % 2 else 'bad'}{i % 1000} the") for i in range(2000)], "doc_id long, quality int, text string")
+    df.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    df.select("doc_id", "quality").write.parquet(f"{tmp_path}/labels.parquet")
+    assert queries.QUERIES["grid_search_best"](spark, str(tmp_path)).first().accuracy > 0.95
+
+
 def test_search_over_blocks_is_that_of_the_definition(spark, monkeypatch):
     import numpy as np
 
